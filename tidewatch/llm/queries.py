@@ -6,16 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import simhash
+from . import sharding, simhash
 from .common import table
 
 
+def op2_ring_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All ``documents`` on 16 shards whose row counts differ by one at most."""
+    return sharding.ring_shards(table(spark, sf_dir, "documents"), shards=16)
+
+
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints and link components of all ``documents``."""
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_ring_sharding": op2_ring_sharding,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
 }
 
