@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import sharding, simhash
+from . import huffman, packing, sharding, simhash
 from .common import table
 
 
@@ -15,14 +15,26 @@ def op2_ring_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.ring_shards(table(spark, sf_dir, "documents"), shards=16)
 
 
+def op5_shortest_pack_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All ``documents`` in sequences of 2048 ids."""
+    return packing.pack(table(spark, sf_dir, "documents"), 2048)
+
+
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints and link components of all ``documents``."""
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op10_huffman_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of all ``documents`` written to a file of Huffman codes and read back."""
+    return huffman.round_trip(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_ring_sharding": op2_ring_sharding,
+    "op5_shortest_pack_first": op5_shortest_pack_first,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
+    "op10_huffman_ids": op10_huffman_ids,
 }
 
 ORACLE_SQL: dict[str, str] = {}
