@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import huffman, packing, sharding, simhash
-from .common import table
+from . import huffman, packing, sharding, simhash, toxicity
+from .common import held_out, table
 
 
 def op2_ring_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,6 +16,18 @@ def op2_ring_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.ring_shards(table(spark, sf_dir, "documents"), shards=16)
 
 
+#: Labelled rows from which the toxicity lexicon is fitted, at most.
+TOXICITY_ROWS = 20_000
+
+
+def op4_toxicity_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity scores of all ``documents``, learnt from labelled rows that are not held out."""
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(toxicity.sample(docs, table(spark, sf_dir, "labels"), ~held_out(5), TOXICITY_ROWS))
+    got = toxicity.score_rows(docs, model)
+    return got.select("doc_id", held_out(5).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op5_shortest_pack_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All ``documents`` in sequences of 2048 ids."""
     return packing.pack(table(spark, sf_dir, "documents"), 2048)
@@ -32,6 +45,7 @@ def op10_huffman_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_ring_sharding": op2_ring_sharding,
+    "op4_toxicity_lexicon": op4_toxicity_lexicon,
     "op5_shortest_pack_first": op5_shortest_pack_first,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
     "op10_huffman_ids": op10_huffman_ids,
