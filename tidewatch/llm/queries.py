@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import huffman, packing, sharding, simhash, toxicity
+from . import huffman, packing, quality, sharding, simhash, toxicity
 from .common import held_out, table
 
 
@@ -38,6 +38,11 @@ def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op9_risk_controlled_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and verdicts of all ``documents``; rules are certified on the quality labels."""
+    return quality.risk_controlled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_huffman_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of all ``documents`` written to a file of Huffman codes and read back."""
     return huffman.round_trip(table(spark, sf_dir, "documents"))
@@ -48,6 +53,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_toxicity_lexicon": op4_toxicity_lexicon,
     "op5_shortest_pack_first": op5_shortest_pack_first,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
+    "op9_risk_controlled_rules": op9_risk_controlled_rules,
     "op10_huffman_ids": op10_huffman_ids,
 }
 
