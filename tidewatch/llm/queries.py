@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import huffman, packing, quality, sharding, simhash, toxicity
+from . import html_text, huffman, packing, quality, sharding, simhash, toxicity
 from .common import held_out, table
 
 
@@ -33,6 +33,11 @@ def op5_shortest_pack_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), 2048)
 
 
+def op6_text_tag_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of all ``pages``."""
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints and link components of all ``documents``."""
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
@@ -52,6 +57,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_ring_sharding": op2_ring_sharding,
     "op4_toxicity_lexicon": op4_toxicity_lexicon,
     "op5_shortest_pack_first": op5_shortest_pack_first,
+    "op6_text_tag_ratio": op6_text_tag_ratio,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
     "op9_risk_controlled_rules": op9_risk_controlled_rules,
     "op10_huffman_ids": op10_huffman_ids,
