@@ -7,10 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_text, huffman, packing, quality, sharding, simhash, toxicity
+from . import decontaminate, html_text, huffman, packing, quality, sharding, simhash, toxicity
 from .common import held_out, table
 
 
+def op1_bm25_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Test items that ``documents`` hold."""
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op2_ring_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All ``documents`` on 16 shards whose row counts differ by one at most."""
     return sharding.ring_shards(table(spark, sf_dir, "documents"), shards=16)
@@ -54,6 +59,7 @@ def op10_huffman_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_bm25_decontamination": op1_bm25_decontamination,
     "op2_ring_sharding": op2_ring_sharding,
     "op4_toxicity_lexicon": op4_toxicity_lexicon,
     "op5_shortest_pack_first": op5_shortest_pack_first,
