@@ -1,15 +1,15 @@
 """Token ids of whole texts by a public tokenizer file.
 
-The tokenizer drops white space and never joins characters across it, so a text's
-ids are those of its words one after the other.  It also splits words between
-letters, digits and other characters before anything else.  Each worker keeps the
-ids of the words and of the lower-cased runs of letters it has met, as
-little-endian unsigned 32-bit bytes; new runs go to the tokenizer library in one
-call a batch.  Either memory is emptied when it is full.
-
-Words with an apostrophe (contractions split otherwise) or a character outside
-Latin-1 letters and ASCII go to the library as they are, and texts that hold the
-opening of a special token as a whole.
+The tokenizer drops white space and never joins characters across it, and it
+splits text into runs of letters, single digits and runs of other characters
+before anything else.  So the ids of a text of ASCII and Latin-1 letters are those
+of its lower-cased runs one after the other; each worker keeps the ids of the runs
+it has met, as little-endian unsigned 32-bit bytes, and new ones go to the
+tokenizer library, many in a call.  The memory is emptied when it is full.
+
+Texts with an apostrophe (contractions split otherwise) or other characters go
+word by word instead, words of that kind to the library as they are; texts that
+hold the opening of a special token go to the library as a whole.
 """
 
 from __future__ import annotations
@@ -21,10 +21,11 @@ from functools import lru_cache
 import numpy as np
 
 END_ID = 1
-_WORDS, _RUNS = 300_000, 600_000
+_KEEP = 700_000
+_CALL = 200
 _SPECIAL = b"<|"
-_PLAIN = re.compile(r"[!-&(-~À-ÖØ-öø-ÿ]+")
-_RUN = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
+_PLAIN = re.compile(r"[\t-\r !-&(-~À-ÖØ-öø-ÿ]*")
+_RUN = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9\t-\r ]+")
 
 
 def default_vocabulary() -> str:
@@ -45,53 +46,52 @@ class Encoder:
         self.size = max(vocabulary.values()) + 1
         self.ends = np.zeros(self.size, bool)
         self.ends[[i for piece, i in vocabulary.items() if piece.endswith("</w>")]] = True
-        self.words: dict[bytes, bytes] = {}
-        self.runs: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {}
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _learn_runs(self, new: list[str]) -> None:
-        ids = np.array(self.tokenizer.encode(" ".join(new), add_special_tokens=False).ids, "<u4")
-        cuts = np.flatnonzero(self.ends[ids]) + 1
-        if cuts.size == len(new):  # each run is one piece and ends in one end-of-word id
-            data, at = ids.tobytes(), 0
-            for run, cut in zip(new, (cuts * 4).tolist()):
-                self.runs[run] = data[at:cut]
-                at = cut
-        else:
-            self.runs.update((run, self._whole(run)) for run in new)
-
-    def _learn(self, new: list[bytes]) -> None:
-        split = {}
-        for word in new:
-            text = word.decode()
-            split[word] = _RUN.findall(text.lower()) if _PLAIN.fullmatch(text) else [text]
-        runs = self.runs
-        if len(runs) > _RUNS:
-            runs.clear()
-        plain, odd = set(), set()
-        for word, parts in split.items():
-            for part in parts:
-                if part not in runs:
-                    (plain if _PLAIN.fullmatch(part) else odd).add(part)
-        if plain:
-            self._learn_runs(list(plain))
-        runs.update((part, self._whole(part)) for part in odd)
-        words = self.words
-        for word, parts in split.items():
-            words[word] = runs[parts[0]] if len(parts) == 1 else b"".join([runs[p] for p in parts])
+    def _learn(self, new: list[str]) -> None:
+        """Ids of new runs; a run is one piece and so ends in its only end-of-word id."""
+        for at in range(0, len(new), _CALL):
+            part = new[at : at + _CALL]
+            plain = [r for r in part if _PLAIN.fullmatch(r)]
+            ids = np.array(self.tokenizer.encode(" ".join(plain), add_special_tokens=False).ids, "<u4")
+            cuts = np.flatnonzero(self.ends[ids]) + 1
+            if cuts.size != len(plain):
+                plain, cuts = [], cuts[:0]
+            data, start = ids.tobytes(), 0
+            for run, cut in zip(plain, (cuts * 4).tolist()):
+                self.known[run] = data[start:cut]
+                start = cut
+            if len(plain) < len(part):
+                self.known.update((r, self._whole(r)) for r in set(part).difference(plain))
+
+    def _runs(self, text: bytes | None) -> list[str]:
+        if not text:
+            return []
+        said = text.decode()
+        if _SPECIAL in text:
+            return [said]
+        if _PLAIN.fullmatch(said):
+            return _RUN.findall(said.lower())
+        words = [w.decode() for w in text.split()]  # at ASCII white space
+        return [r for w in words for r in (_RUN.findall(w.lower()) if _PLAIN.fullmatch(w) else [w])]
 
     def encode_many(self, texts: list[bytes | None]) -> list[bytes]:
-        cut = [(t or b"").split() for t in texts]  # at ASCII white space
-        words = self.words
-        new = set().union(*cut).difference(words)
-        if len(words) + len(new) > _WORDS:
-            words.clear()
-            new = set().union(*cut)
-        if new:
+        cut = [self._runs(t) for t in texts]
+        found = [list(map(self.known.get, runs)) for runs in cut]  # one look-up a run: it is much of the cost
+        if new := {r for runs, f in zip(cut, found) for r, ids in zip(runs, f) if ids is None}:
+            if len(self.known) + len(new) > _KEEP:
+                self.known.clear()
             self._learn(list(new))
-        return [self._whole(t.decode()) if t and _SPECIAL in t else b"".join([words[w] for w in ws]) for t, ws in zip(texts, cut)]
+        known, out = self.known, []
+        for runs, f in zip(cut, found):
+            try:
+                out.append(b"".join(f))
+            except TypeError:  # a new run among them
+                out.append(b"".join([known[r] if ids is None else ids for r, ids in zip(runs, f)]))
+        return out
 
 
 @lru_cache(maxsize=4)
