@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_text, huffman, packing, quality, sharding, simhash, toxicity
+from . import decontaminate, html_text, huffman, lm_scoring, packing, quality, sharding, simhash, toxicity
 from .common import held_out, table
 
 
@@ -48,6 +48,11 @@ def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_attention_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log10 probabilities of all ``documents`` by the attention model and by the word unigram base."""
+    return lm_scoring.score(table(spark, sf_dir, "documents"))
+
+
 def op9_risk_controlled_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and verdicts of all ``documents``; rules are certified on the quality labels."""
     return quality.risk_controlled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -65,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_shortest_pack_first": op5_shortest_pack_first,
     "op6_text_tag_ratio": op6_text_tag_ratio,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
+    "op8_attention_lm": op8_attention_lm,
     "op9_risk_controlled_rules": op9_risk_controlled_rules,
     "op10_huffman_ids": op10_huffman_ids,
 }
