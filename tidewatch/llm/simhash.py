@@ -191,3 +191,14 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     named = rooted.where("root is not null").groupBy("root").agg(F.min("low").alias("named"))
     named = stored(rooted.join(named, "root", "left").select("fp", F.coalesce("named", "low").alias("component_id")), "named")
     return docs.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def keep_one(df: DataFrame, text_col: str = "text", radius: int = 4, shingle: int = 4, block: int = 2048) -> DataFrame:
+    """The rows of ``df`` without near copies: of each component its first row stays, with all columns.
+
+    Rows are numbered, so repeated and null ids need no rule of their own.
+    """
+    rows = stored(df.withColumn("_row_of_dedup", F.monotonically_increasing_id()), "numbered")
+    found = near_duplicates(rows, "_row_of_dedup", text_col, radius, shingle, block)
+    kept = found.where("doc_id = component_id").select(F.col("doc_id").alias("_row_of_dedup"))
+    return rows.join(kept, "_row_of_dedup", "left_semi").select(*df.columns)
