@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_text, huffman, lm_scoring, packing, quality, sharding, simhash, toxicity
+from . import decontaminate, html_text, huffman, licences, lm_scoring, packing, quality, sharding, simhash, toxicity
 from .common import held_out, table
 
 
@@ -21,6 +21,11 @@ def op2_ring_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.ring_shards(table(spark, sf_dir, "documents"), shards=16)
 
 
+def op3_licence_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Canonical digests of all ``documents`` and the known licences they are."""
+    return licences.scan(table(spark, sf_dir, "documents"))
+
+
 #: Labelled rows from which the toxicity lexicon is fitted, at most.
 TOXICITY_ROWS = 20_000
 
@@ -66,6 +71,7 @@ def op10_huffman_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bm25_decontamination": op1_bm25_decontamination,
     "op2_ring_sharding": op2_ring_sharding,
+    "op3_licence_digests": op3_licence_digests,
     "op4_toxicity_lexicon": op4_toxicity_lexicon,
     "op5_shortest_pack_first": op5_shortest_pack_first,
     "op6_text_tag_ratio": op6_text_tag_ratio,
@@ -75,4 +81,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_huffman_ids": op10_huffman_ids,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op3_licence_digests": licences.sql()}
