@@ -37,6 +37,12 @@ def test_furniture_goes_with_or_without_an_article_element():
     assert main_text(PAGE.format(open="<article>", close="</article><article class=comment><p>Nice text, I read it all.</p></article>")) == WANT
 
 
+def test_an_article_element_does_not_outvote_the_ratios():
+    body = [f"Paragraph {i} of the story, long enough to be the text that the page is made for." for i in range(6)]
+    html = "<body><div class=story>" + "".join(f"<p>{p}</p>" for p in body) + "</div><hr><article class=card><h3><a href=x>Next</a></h3><p>Teaser.</p></article></body>"
+    assert main_text(html) == "\n".join(body)
+
+
 def test_odd_pages():
     assert main_text(None) == main_text("") == main_text("<nav>a</nav>") == main_text("<script>x") == main_text("<!-- c -->") == ""
     assert main_text("plain text") == "plain text"

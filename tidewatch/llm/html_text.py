@@ -6,11 +6,10 @@ tags since the line before and its container.  Its ratio is
 its characters outside links over its tags; lines inside page furniture (menus,
 footers, forms, adverts, comments and the like, by tag, role or class name) have
 ratio zero.  The ratios are smoothed with a Gaussian and split into two clusters;
-lines of the upper one are content, and the content region is every container
-(article, main, or else the smallest block element around) that holds them.  All
-lines of these regions outside furniture are returned, so a short paragraph of an
-article stays whatever its own ratio.  If the page has an article or main element
-with text, only such regions count.
+lines of the upper one are content on every page, and the content region is every
+container (the outermost article or main around, or else the smallest block
+element) that holds them.  All lines of these regions outside furniture are
+returned, so a short paragraph of a chosen article stays whatever its own ratio.
 
 Defined cases: null or empty html, and pages of furniture alone, give the empty
 text; markup that is not closed ends with the page.
@@ -58,7 +57,7 @@ class _Lines(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.stack: list[tuple[str, bool, int, bool]] = []  # tag, in furniture, container, skipped
         self.out: list[tuple[str, int, int, int, bool]] = []
-        self.holders: list[tuple[str, bool]] = [("body", False)]  # tag, inside article or main
+        self.holders: list[tuple[str, bool, int]] = [("body", False, 0)]  # tag, inside article or main, region
         self.parts: list[str] = []
         self.links = self.tags = self.depth_a = 0
 
@@ -97,7 +96,8 @@ class _Lines(HTMLParser):
                     elif name == "hidden" or name == "aria-hidden" and value == "true":
                         furniture = True
         if tag in _HOLDER:
-            self.holders.append((tag, tag in _MAIN or self.holders[holder][1]))
+            _, inside, region = self.holders[holder]
+            self.holders.append((tag, tag in _MAIN or inside, region if inside else len(self.holders)))
             holder = len(self.holders) - 1
         if tag == "a":
             self.depth_a += 1
@@ -171,11 +171,9 @@ def main_text(html: str | None) -> str:
     content = (smoothed >= split_point(smoothed)) & (ratios > 0)
     if not content.any():
         content = ratios == ratios.max()
-    inside = [parser.holders[h][1] for _, _, _, h, _ in lines]
-    if any(m and r for m, r in zip(inside, ratios)):
-        return "\n".join(t for (t, _, _, _, f), m in zip(lines, inside) if m and not f)
-    regions = {h for (_, _, _, h, _), c in zip(lines, content) if c}
-    return "\n".join(t for t, _, _, h, f in lines if h in regions and not f)
+    region = [parser.holders[h][2] for _, _, _, h, _ in lines]
+    chosen = {r for r, c in zip(region, content) if c}
+    return "\n".join(t for (t, _, _, _, f), r in zip(lines, region) if r in chosen and not f)
 
 
 def extract(df: DataFrame, html_col: str = "html", key_cols: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
