@@ -43,6 +43,29 @@ def test_an_article_element_does_not_outvote_the_ratios():
     assert main_text(html) == "\n".join(body)
 
 
+STORY = [f"Paragraph {i} of the story, long enough to be the text that the page is made for." for i in range(4)]
+
+
+def test_the_name_of_a_wrapper_does_not_empty_a_page():
+    paragraphs = "".join(f"<p>{p}</p>" for p in STORY)
+    for name in ("layout with-sidebar", "has-comments", "nav-open"):
+        for tag in ("article", "div"):
+            html = f"<body><div class='cookie-notice'><p>We use cookies.</p></div><div class='{name}'><{tag}>{paragraphs}</{tag}><div class=sidebar><p>Most read of the week</p></div></div>"
+            assert main_text(html) == "\n".join(STORY)
+
+
+def test_a_head_without_end_tag_ends_at_the_body():
+    paragraphs = "".join(f"<p>{p}</p>" for p in STORY)
+    for body in ("<body>", ""):
+        assert main_text(f"<html><head><title>T</title><meta charset=utf-8><script>x</script>{body}<div>{paragraphs}</div>") == "\n".join(STORY)
+
+
+def test_short_paragraphs_in_elements_of_their_own_stay():
+    said = [STORY[0] * 3, "Yes.", "No.", "So it was.", "Well.", STORY[1] * 3, "The end."]
+    html = "<body><nav><a href=/>Home</a></nav><div id=story>" + "".join(f"<div>{p}</div>" for p in said) + "</div><footer>(c)</footer></body>"
+    assert main_text(html) == "\n".join(said)
+
+
 def test_odd_pages():
     assert main_text(None) == main_text("") == main_text("<nav>a</nav>") == main_text("<script>x") == main_text("<!-- c -->") == ""
     assert main_text("plain text") == "plain text"
