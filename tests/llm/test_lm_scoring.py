@@ -1,9 +1,11 @@
 import math
+import uuid
 import zlib
 from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tidewatch.llm import attention, lm_scoring
 from tidewatch.llm.common import WORD, lower_ascii, table
@@ -42,6 +44,28 @@ def test_base_equals_brute_force_and_held_out_text_is_likelier(spark):
     assert sum(r.score for r in held) / sum(r.n_ids for r in held) > -2.6
 
 
+def test_training_reads_every_window_once_and_held_out_text_is_likely(spark, tmp_path):
+    df = table(spark, SF, "documents")
+    step = attention.Trainer.step
+
+    def counted(self, x, y, count):
+        with open(tmp_path / f"{uuid.uuid4().hex}", "w") as f:
+            f.write(str(int(count.sum())))
+        return step(self, x, y, count)
+
+    def run(batches):
+        attention.Trainer.step = counted
+        yield from batches
+
+    # Python workers are told to count by a step in the plan before training.
+    docs = lm_scoring.stored(df.select(F.col("doc_id"), F.col("text").cast("binary")).mapInArrow(lambda b: lm_scoring._chunks(b, lm_scoring.tokens.default_vocabulary(), 8 << 20, 10), lm_scoring.ROWS), "chunks").where("kind = 1 and not held_out")
+    lm_scoring.train(docs.mapInArrow(run, docs.schema), 49_408)
+    want = sum(len(r.ids) // 4 for r in docs.collect())
+    assert sum(int(f.read_text()) for f in tmp_path.iterdir()) == want
+    held = [r for r in lm_scoring.score(df).collect() if r.held_out]
+    assert sum(r.score for r in held) / sum(r.n_ids for r in held) > -2.6
+
+
 def test_empty_table_and_repeated_rows(spark):
     shape = "doc_id long, text string, score string"
     assert lm_scoring.score(spark.createDataFrame([], shape)).collect() == []

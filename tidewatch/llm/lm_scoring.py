@@ -10,8 +10,9 @@ The model (``attention``) takes its classes and first biases from the id counts
 of all training documents.  Its weights learn in ``rounds``: each trainer steps
 through its part of the round's windows from the same weights, and the results
 are averaged, weighted by ids.  There is a trainer for every ``per_trainer`` ids,
-so training grows with the input.  A round reads a stated share of the windows,
-chosen by a hash of document content and place (``share`` over all rounds).
+so training grows with the input.  Every training window is read once: a round
+takes the windows that a hash of document content and place deals to it (``share``
+below 1 takes that part of them over all rounds; no query does).
 
 Defined cases: null and empty text have the end token alone; a document without
 an id is in training or held out by the checksum of an empty string; repeated rows are
@@ -119,7 +120,7 @@ def _shaped(flat: np.ndarray, like: dict[str, np.ndarray]) -> dict[str, np.ndarr
     return out
 
 
-def train(docs: DataFrame, size: int, rounds: int = 3, share: float = 0.25, per_trainer: int = 1_000_000, **shape: int) -> tuple[attention.Vocabulary, dict]:
+def train(docs: DataFrame, size: int, rounds: int = 3, share: float = 1.0, per_trainer: int = 1_000_000, **shape: int) -> tuple[attention.Vocabulary, dict]:
     """Classes and weights from the rows of ``docs`` (ids)."""
     counts = id_counts(docs, size)
     v = attention.Vocabulary(counts)
