@@ -41,7 +41,7 @@ class Vocabulary:
         return -float(np.log(max(self.size - self.seen, 1)))
 
 
-def start(v: Vocabulary, d: int = 16, hidden: int = 32, width: int = 32, seed: int = 7) -> dict[str, np.ndarray]:
+def start(v: Vocabulary, d: int = 32, hidden: int = 64, width: int = 64, seed: int = 7) -> dict[str, np.ndarray]:
     """First parameters: the unigram model."""
     rng = np.random.default_rng(seed)
 

@@ -37,7 +37,7 @@ from . import attention, tokens
 from .common import stored, texts
 
 ROWS = "chunk long, kind int, pos int, word binary, n long, doc_id long, held_out boolean, n_tokens long, at binary, tf binary, ids binary"
-STRIDE_OF = 4  # windows overlap by a quarter of their width
+STRIDE_OF = 2  # windows overlap by half their width, so a later id sees at least that much
 _GROUP = 1024
 _SLICE = 1 << 16
 
