@@ -59,6 +59,29 @@ def test_steps_are_certified_and_useful(spark):
     assert kept.columns == df.columns and {r.doc_id for r in kept.collect()} == {d for d, k in got.items() if k}
 
 
+def test_one_telling_feature_among_noisy_ones_is_certified(spark):
+    rng = random.Random(4)
+    rows = []
+    for i in range(400):
+        bad = i % 8 == 0
+        word = lambda: rng.choice("AbCdEfgh") * rng.randint(1, 9)
+        lines = [" ".join(word() for _ in range(rng.randint(3, 9))) for _ in range(12)]
+        lines += rng.choices(lines, k=rng.randint(0, 3))
+        rows.append((i, "\n".join(lines) + (" ## $$ ##" if bad else ""), "de", 0 if bad else 1))
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, quality int")
+    got = {r.doc_id: (r.kept, r.base_failed) for r in quality.risk_controlled(df, df.select("doc_id", "quality")).collect()}
+    assert not any(got[r[0]][0] for r in rows if r[3] == 0)
+    good = [got[r[0]] for r in rows if r[3] == 1 and not got[r[0]][1]]
+    assert len(good) > 200 and sum(not kept for kept, _ in good) <= 0.05 * len(good)
+
+
+def test_ties_at_a_cutoff_are_kept(spark):
+    rows = [(i, " ".join(f"t{i}x{j}" for j in range(30)) + " #" * (i % 2), "en", 1) for i in range(300)] + [(1000 + i, " ".join(f"b{i}x{j}" for j in range(30)) + " # #", "en", 0) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, quality int")
+    got = {r.doc_id: r.kept for r in quality.risk_controlled(df, df.select("doc_id", "quality")).collect()}
+    assert all(got[i] for i in range(300)) and not any(got[1000 + i] for i in range(60))
+
+
 def test_repeats_clashing_names_and_empty(spark):
     df = spark.createDataFrame([(1, "a " * 5, "en", 1), (1, "a " * 5, "en", 2), (None, None, None, 3)], "doc_id long, text string, lang string, n_words int").withColumn("kept", F.lit("x"))
     labels = spark.createDataFrame([(1, 1), (1, 0), (None, 1), (2, None)], "doc_id long, quality int")

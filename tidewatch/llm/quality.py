@@ -2,23 +2,26 @@
 
 Every text gets counts of words, symbols, repeated lines and repeated 8-word
 windows.  Rates made of them are the features; a higher one is worse.  For each
-stratum a ladder of rules is made on one half of the labelled rows: step t
-rejects a text if some feature lies above the (1 - t)-quantile of good rows, so
-higher steps reject more.  The other half certifies steps: a step holds if the exact binomial
+stratum a ladder of rules is made on one half of the labelled rows: each feature
+gets the cutoff (a quantile of good rows) that best tells bad rows from good ones,
+the features are put in the order of what they tell, and rule t rejects a text if
+one of the first t features lies above its cutoff, so later rules reject more.
+The other half certifies rules: a rule holds if the exact binomial
 probability of seeing so few rejected good rows, were the true rate ``alpha``, is at most
-``delta`` divided by the number of strata (Bonferroni), and all lower steps hold
-(fixed sequence).  With probability 1 - delta no stratum's chosen step rejects more than
-``alpha`` of good texts.  Among the steps that hold, the one with the best difference of
+``delta`` divided by the number of strata (Bonferroni), and all earlier rules hold
+(fixed sequence).  With probability 1 - delta no stratum's chosen rule rejects more than
+``alpha`` of good texts.  Among the rules that hold, the one with the best difference of
 rates of rejected bad and good rows on the first half is taken.
 
 Equal texts count once in both halves.  Labelled rows meet features that were
-computed once for all rows; nothing but step tables is broadcast, behind a check
-of their size.
+computed once for all rows; nothing but rule tables is broadcast, behind a check
+of their size.  Windows are compared by 64-bit hashes, so ``n_repeat_words`` is exact
+but for collisions (for a text of 10,000 words, a chance under 1e-11).
 
 Defined cases: a null text has no words and fails the base rules; a null stratum
-is a stratum; strata without enough labels to certify a step reject nothing
-beyond the base rules; conflicting labels of a row count as bad; an empty table
-gives no rows.
+is a stratum; strata without enough labels to certify a rule reject nothing
+beyond the base rules; a value equal to a cutoff is not above it; conflicting labels
+of a row count as bad; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -49,9 +52,10 @@ def _removed(text: Column, chars: str) -> Column:
     return (F.length(text) - F.length(F.translate(text, chars, ""))).cast("long")
 
 
-def _paired(x: Column, step: int) -> Column:
-    """Hashes of each element with the one ``step`` places later."""
-    n = F.size(x) - step
+def _paired(name: str, step: int) -> Column:
+    """Hashes of each element of an array column with the one ``step`` places later."""
+    x = F.col(name)
+    n = F.greatest(F.size(x) - step, F.lit(0))
     return F.zip_with(F.slice(x, F.lit(1), n), F.slice(x, F.lit(1 + step), n), lambda a, b: F.xxhash64(a, b))
 
 
@@ -73,28 +77,38 @@ def _covered(windows: Column) -> Column:
     return _let(_let(ordered, flagged), words)
 
 
-def _repeated(words: Column) -> Column:
-    windows = _let(F.transform(words, lambda w: F.xxhash64(w)), lambda h: _let(_paired(h, 1), lambda h2: _let(_paired(h2, 2), lambda h4: _paired(h4, 4))))
-    count = lambda w: F.when(F.size(F.array_distinct(w)) < F.size(w), _covered(w)).otherwise(F.lit(0).cast("long"))
-    return F.when(F.size(words) > WINDOW, _let(windows, count)).otherwise(F.lit(0).cast("long"))
+def counted(own: DataFrame) -> DataFrame:
+    """Rows (row, text, ...) with the text replaced by its counts; a null text counts as empty.
 
-
-def measures(text: Column) -> Column:
-    """Struct of all counts of a text; null counts as empty."""
-    text = F.coalesce(text, F.lit(""))
-
-    def of_words(words: Column) -> Column:
-        n = F.size(words)
-        stutter = F.when(n > 1, F.size(F.filter(F.zip_with(F.slice(words, F.lit(1), n - 1), F.slice(words, F.lit(2), n - 1), lambda a, b: a == b), lambda e: e))).otherwise(0)
-        return F.struct(n.cast("long").alias("n_words"), _repeated(words).alias("n_repeat_words"), stutter.cast("long").alias("n_stutter"))
-
-    def of_lines(lines: Column) -> Column:
-        return F.struct(F.size(lines).cast("long").alias("n_lines"), (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"))
-
-    words = F.filter(F.split(text, SQL_SPACE), lambda w: w != "")
-    lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    chars = F.struct(F.length(F.translate(text, _SPACES, "")).cast("long").alias("word_chars"), _removed(text, SYMBOLS).alias("n_symbols"), _removed(text, _CAPITALS).alias("n_upper"))
-    return F.struct(_let(words, of_words).alias("w"), _let(lines, of_lines).alias("l"), chars.alias("c"))
+    Words are hashed as soon as they are cut, and windows are hashes of hashes
+    (two, four, eight words).  Each step is a column used more than once, so it is
+    computed once and handed on as a flat array, and a text's strings are gone
+    before its windows are made.
+    """
+    keep = [c for c in own.columns if c != "text"]
+    text, inner = F.coalesce("text", F.lit("")), F.col("_inner")
+    cut = own.withColumn("text", text).withColumn("_inner", F.trim("text", F.lit(_SPACES))).select(
+        *keep,
+        F.length(F.translate(inner, _SPACES, "")).cast("long").alias("word_chars"),
+        _removed(inner, SYMBOLS).alias("n_symbols"),
+        _removed(inner, _CAPITALS).alias("n_upper"),
+        F.when(inner == "", F.array().cast("array<string>")).otherwise(F.split(inner, SQL_SPACE)).alias("_words"),
+        F.filter(F.split("text", "\n"), lambda x: F.trim(x, F.lit(_SPACES)) != "").alias("_lines"),
+    )
+    keep += ["word_chars", "n_symbols", "n_upper"]
+    lines = F.size("_lines").cast("long")
+    hashed = cut.select(
+        *keep, F.size("_words").cast("long").alias("n_words"), lines.alias("n_lines"), (lines - F.size(F.array_distinct("_lines"))).alias("n_dup_lines"),
+        F.transform("_words", lambda w: F.xxhash64(w)).alias("_h"),
+    )
+    keep += ["n_words", "n_lines", "n_dup_lines"]
+    rest = F.slice("_h", F.lit(2), F.greatest(F.size("_h") - 1, F.lit(0)))
+    same = F.filter(F.zip_with("_h", rest, lambda a, b: a == b), lambda e: F.coalesce(e, F.lit(False)))
+    paired = hashed.select(*keep, F.size(same).cast("long").alias("n_stutter"), _paired("_h", 1).alias("_h"))
+    keep += ["n_stutter"]
+    windows = paired.select(*keep, _paired("_h", 2).alias("_h")).select(*keep, _paired("_h", 4).alias("_h"))
+    repeated = F.when(F.size(F.array_distinct("_h")) < F.size("_h"), _covered(F.col("_h"))).otherwise(F.lit(0).cast("long"))
+    return windows.select(*keep, repeated.alias("n_repeat_words"))
 
 
 def _rate(top: str, below: str, most: float) -> Column:
@@ -104,10 +118,9 @@ def _rate(top: str, below: str, most: float) -> Column:
 
 def measured(df: DataFrame, text: Column, stratum: Column) -> DataFrame:
     """``df``'s columns in ``row``, with the counts, features, stratum and base verdict."""
-    own = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), measures(text).alias("m"), stratum.alias("stratum"), F.xxhash64(text).alias("digest"))
-    counts = own.select("row", "stratum", "digest", "m.w.*", "m.l.*", "m.c.*")
+    own = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), stratum.alias("stratum"), F.xxhash64(text).alias("digest"), text.alias("text"))
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
-    return counts.select(
+    return counted(own).select(
         "*",
         failed.alias("base_failed"),
         _rate("n_symbols", "n_words", 10).alias("symbol_rate"),
@@ -133,36 +146,49 @@ def binomial_tail(k: Column, n: Column, p: Column) -> Column:
     return F.when(n == 0, F.lit(1.0)).otherwise(F.least(F.lit(1.0), F.exp(last + F.log(series))))
 
 
+def _outcome(out: Column) -> list[Column]:
+    """Aggregates over labelled rows: good and bad rows of the halves, and those that are rejected."""
+    fit, good = F.col("fit"), F.col("good")
+    return [
+        F.count_if(~fit & good).alias("n"),
+        F.count_if(~fit & good & out).alias("k"),
+        F.coalesce(F.try_divide(F.count_if(fit & ~good & out), F.count_if(fit & ~good)), F.lit(0.0)).alias("bad_out"),
+        F.coalesce(F.try_divide(F.count_if(fit & good & out), F.count_if(fit & good)), F.lit(0.0)).alias("good_out"),
+    ]
+
+
 def steps(labelled: DataFrame, alpha: float = 0.05, delta: float = 0.05) -> DataFrame:
-    """The chosen step of each stratum: stratum and cutoffs (an array in the order of FEATURES).
+    """The certified rule of each stratum: stratum and cutoffs (an array in the order of FEATURES; infinity: unused).
 
     ``labelled``: stratum, digest, good (boolean), base_failed and the features.
     Rows that fail the base rules are gone before and not counted.
     """
     rows = labelled.where(~F.col("base_failed")).groupBy("stratum", "digest").agg(F.min("good").alias("good"), *[F.max(f).alias(f) for f in FEATURES])
     rows = stored(rows.withColumn("fit", F.pmod(F.xxhash64("digest"), F.lit(2)) == 0), "labelled")
-    shares = F.array(*[F.lit(1 - t) for t in STEPS])
+    # the fit half: each feature's best cutoff, and the features in the order of what their cutoffs gain
     quantiles = rows.where("fit and good").groupBy("stratum").agg(*[F.expr(f"percentile({f}, array({', '.join(f'{1 - t}D' for t in STEPS)}))").alias(f) for f in FEATURES])
-    ladder = quantiles.select("stratum", F.posexplode(shares).alias("step", "share"), *FEATURES).select("stratum", "step", F.array(*[F.col(f)[F.col("step")] for f in FEATURES]).alias("cutoffs"))
-    same = rows.withColumnRenamed("stratum", "s").join(ladder, F.col("s").eqNullSafe(F.col("stratum")))
-    out = above(F.col("cutoffs"))
-    seen = same.groupBy("stratum", "step", "cutoffs").agg(
-        F.count_if(~F.col("fit") & F.col("good")).alias("n"),
-        F.count_if(~F.col("fit") & F.col("good") & out).alias("k"),
-        F.count_if(F.col("fit") & F.col("good")).alias("good"),
-        F.count_if(F.col("fit") & F.col("good") & out).alias("good_out"),
-        F.count_if(F.col("fit") & ~F.col("good")).alias("bad"),
-        F.count_if(F.col("fit") & ~F.col("good") & out).alias("bad_out"),
-    )
-    strata = seen.select(F.count_distinct(F.coalesce(F.concat(F.lit("="), F.col("stratum")), F.lit(""))).alias("strata"))
+    choices = quantiles.select("stratum", F.explode(F.array(*[F.struct(F.lit(i).alias("feature"), F.col(f).alias("at")) for i, f in enumerate(FEATURES)])).alias("c"))
+    choices = choices.select("stratum", "c.feature", F.posexplode("c.at").alias("step", "cutoff")).withColumnRenamed("stratum", "of")
+    value = F.array(*[F.col(f) for f in FEATURES])[F.col("feature")]
+    tried = rows.where("fit").join(choices, F.col("of").eqNullSafe(F.col("stratum")))
+    tried = tried.groupBy("of", "feature", "step", "cutoff").agg(*_outcome(value > F.col("cutoff"))).withColumn("gain", F.col("bad_out") - F.col("good_out"))
+    best = tried.where("gain > 0").groupBy("of", "feature").agg(F.max(F.struct("gain", (-F.col("step")).alias("early"), "cutoff")).alias("b"))
+    order = F.sort_array(F.collect_list(F.struct((-F.col("b.gain")).alias("loss"), "feature", F.col("b.cutoff").alias("cutoff"))))
+    ranked = best.groupBy("of").agg(order.alias("chosen"))  # at most one entry a feature
+    # rule t uses the first t features; more of them reject more
+    level = F.explode(F.sequence(F.lit(1), F.size("chosen"))).alias("step")
+    used = lambda i: F.filter(F.slice("chosen", F.lit(1), F.col("step")), lambda x: x["feature"] == i)
+    cutoff = [F.when(F.size(used(i)) > 0, used(i)[0]["cutoff"]).otherwise(F.lit(float("inf"))) for i in range(len(FEATURES))]
+    ladder = ranked.select("of", "chosen", level).select("of", "step", F.array(*cutoff).alias("cutoffs"))
+    seen = rows.join(ladder, F.col("of").eqNullSafe(F.col("stratum"))).groupBy("of", "step", "cutoffs").agg(*_outcome(above(F.col("cutoffs"))))
+    strata = seen.select(F.count_distinct(F.coalesce(F.concat(F.lit("="), F.col("of")), F.lit(""))).alias("strata"))
     p = F.lit(alpha)
     tail = F.when(F.col("k") <= F.col("n") * p, binomial_tail(F.col("k"), F.col("n"), p)).otherwise(1.0)
-    order = Window.partitionBy("stratum").orderBy("step")
+    earlier = Window.partitionBy("of").orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
     tested = seen.join(F.broadcast(strata)).withColumn("holds", tail <= F.lit(delta) / F.col("strata"))  # one row
-    held = tested.withColumn("holds", F.min("holds").over(order.rowsBetween(Window.unboundedPreceding, 0))).where("holds")
-    gain = F.coalesce(F.try_divide("bad_out", "bad"), F.lit(0.0)) - F.coalesce(F.try_divide("good_out", "good"), F.lit(0.0))
-    best = held.withColumn("gain", gain).withColumn("nth", F.row_number().over(Window.partitionBy("stratum").orderBy(F.desc("gain"), "step")))
-    return best.where("nth = 1 and gain > 0").select("stratum", "cutoffs")
+    held = tested.withColumn("holds", F.min("holds").over(earlier)).where("holds")
+    best = held.withColumn("nth", F.row_number().over(Window.partitionBy("of").orderBy(F.desc(F.col("bad_out") - F.col("good_out")), "step")))
+    return best.where("nth = 1").select(F.col("of").alias("stratum"), "cutoffs")
 
 
 def above(cutoffs: Column) -> Column:
@@ -199,8 +225,7 @@ def risk_controlled(df: DataFrame, labels: DataFrame, alpha: float = 0.05, delta
 
 def keep_good(df: DataFrame, labels: DataFrame, alpha: float = 0.05, delta: float = 0.05) -> DataFrame:
     """The rows of ``df`` (with doc_id, text, lang) that are kept, columns unchanged."""
-    plain = measured(df.select("doc_id", "text", "lang"), F.col("text"), F.col("lang")).select("row.doc_id", "stratum", "digest", "base_failed", *FEATURES)
-    known = labels.where(F.col("quality").isNotNull()).select("doc_id").distinct()
-    chosen = stored(steps(labelled_rows(plain.join(known, "doc_id", "left_semi"), labels), alpha, delta), "steps")
     rows = measured(df, F.col("text"), F.col("lang"))
+    rows = stored(rows.select("row", F.col("row.doc_id").alias("doc_id"), "stratum", "digest", "base_failed", *FEATURES), "measures", compression="zstd")
+    chosen = stored(steps(labelled_rows(rows.drop("row"), labels), alpha, delta), "steps")
     return judged(rows, chosen).where("kept").select("row.*")
