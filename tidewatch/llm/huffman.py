@@ -121,21 +121,38 @@ def decode_block(bits: bytes, offsets: bytes, n: int, table: np.ndarray, lens: n
     return out.ravel()[:n]
 
 
+def _binaries(data: bytes, ends: np.ndarray) -> pa.Array:
+    """Arrow binaries that lie one after the other in ``data``."""
+    offsets = np.concatenate([[0], ends]).astype(np.int64)
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), ends.size, [None, pa.py_buffer(offsets), pa.py_buffer(data)]).cast(pa.binary())
+
+
 def token_ids(df: DataFrame, vocabulary: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n, crc and ids (little-endian unsigned, 16 bits if the vocabulary allows) of each row, end id included."""
+    """doc_id, n, crc, ids (little-endian unsigned, 16 bits if the vocabulary allows) of each row, end id included.
+
+    A last row of each task has its ids' counts in ``histogram`` (64 bits an id) instead.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = tokens.encoder(vocabulary)
-        kind = "<u2" if encoder.size <= 1 << 16 else "<u4"
+        size = max(encoder.size, end_id + 1)
+        kind = "<u2" if size <= 1 << 16 else "<u4"
         end = np.array([end_id], "<u4").tobytes()
+        total = np.zeros(size, np.int64)
         for b in texts(batches):
             found = [e + end for e in encoder.encode_many(b.column(1).to_pylist())]
-            ids = [np.frombuffer(e, "<u4").astype(kind).tobytes() for e in found]
-            n = pa.array([len(e) // 4 for e in found], pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0), n, pa.array([zlib.crc32(e) for e in found], pa.int64()), pa.array(ids, pa.binary()), pa.array([kind == "<u2"] * len(ids))], ["doc_id", "n", "crc", "ids", "short"])
-
+            ids = np.frombuffer(b"".join(found), "<u4")
+            total += np.bincount(ids, minlength=size)
+            n = np.array([len(e) // 4 for e in found], np.int64)
+            ids = ids.astype(kind)
+            crc = pa.array([zlib.crc32(e) for e in found], pa.int64())
+            cols = [b.column(0), pa.array(n), crc, _binaries(ids.tobytes(), np.cumsum(n) * ids.itemsize), pa.array([kind == "<u2"] * len(found)), pa.nulls(len(found), pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, names)
+        yield pa.RecordBatch.from_arrays([*(pa.nulls(1, t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.bool_())), pa.array([total.tobytes()], pa.binary())], names)
+
+    names = ["doc_id", "n", "crc", "ids", "short", "histogram"]
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n long, crc long, ids binary, short boolean")
+    return rows.mapInArrow(run, "doc_id long, n long, crc long, ids binary, short boolean, histogram binary")
 
 
 def _ids(data: bytes, short: bool) -> np.ndarray:
@@ -143,27 +160,32 @@ def _ids(data: bytes, short: bool) -> np.ndarray:
 
 
 def counts(ids: DataFrame) -> dict[int, int]:
-    """How often each id occurs; at most one number for each id of the vocabulary reaches the driver."""
+    """How often each id occurs, from the tasks' histograms; at most one number for each id of the vocabulary reaches the driver."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(0, np.int64)
-        for b in texts(batches):
-            for data, short in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                got = np.bincount(_ids(data, short))
-                if got.size > total.size:
-                    total = np.pad(total, (0, got.size - total.size))
-                total[: got.size] += got
-        used = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(total[used])], ["id", "n"])
+        total = None
+        for b in batches:
+            for data in b.column(0):
+                got = np.frombuffer(data.as_buffer(), np.int64)
+                total = got + (0 if total is None else total)
+        if total is not None:
+            used = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(total[used])], ["id", "n"])
 
-    return {r.id: r.n for r in ids.select("ids", "short").mapInArrow(run, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()}
+    found = ids.where("histogram is not null").select("histogram").mapInArrow(run, "id int, n long")
+    return {r.id: r.n for r in found.groupBy("id").agg(F.sum("n").alias("n")).collect()}
 
 
 def write(df: DataFrame, path: str, vocabulary: str | None = None, end_id: int = tokens.END_ID, limit: int = 16, parts: int | None = None) -> None:
-    """Encode every row's text to a file at ``path``."""
+    """Encode every row's text to a file at ``path``.
+
+    Codes have at most ``limit`` bits; where more than half of 2**limit different ids
+    occur, so that few codes could be shorter, the limit is raised to two bits above the
+    logarithm of their number, and the file states the one used.
+    """
     spark = df.sparkSession
-    ids = stored(token_ids(df, vocabulary or tokens.default_vocabulary(), end_id), "ids", compression="zstd")
-    seen = counts(ids)
+    made = stored(token_ids(df, vocabulary or tokens.default_vocabulary(), end_id), "ids", compression="zstd")
+    seen, ids = counts(made), made.where("histogram is null")
     limit = max(limit, len(seen).bit_length() + 1) if len(seen) > 1 << (limit - 1) else limit
     lengths = code_lengths(seen, limit)
     spark.createDataFrame([(i, k, limit) for i, k in sorted(lengths.items())], "id int, length int, limit int").coalesce(1).write.parquet(f"{path}/codes")

@@ -2,14 +2,17 @@
 
 The tokenizer drops white space and never joins characters across it, and it
 splits text into runs of letters, single digits and runs of other characters
-before anything else.  So the ids of a text of ASCII and Latin-1 letters are those
-of its lower-cased runs one after the other; each worker keeps the ids of the runs
-it has met, as little-endian unsigned 32-bit bytes, and new ones go to the
-tokenizer library, many in a call.  The memory is emptied when it is full.
-
-Texts with an apostrophe (contractions split otherwise) or other characters go
-word by word instead, words of that kind to the library as they are; texts that
-hold the opening of a special token go to the library as a whole.
+before anything else.  So a text's ids are those of its words (cut at ASCII white
+space) one after the other, and a word of ASCII and Latin-1 letters has the ids of
+its lower-cased runs.  Each worker keeps the ids of the words
+it has met, as little-endian unsigned 32-bit bytes; new words go to the
+tokenizer library, many in a call, but for words with an apostrophe (contractions
+split otherwise) or other characters, which go alone.  When the memory is full a new
+one begins; words that the last one holds move over as they come up again.
+Texts that hold the opening of a special token go to the library as a whole.
+
+Defined cases: null, empty and blank texts have no ids; bytes that are no UTF-8
+count as U+FFFD.
 """
 
 from __future__ import annotations
@@ -17,11 +20,13 @@ from __future__ import annotations
 import os
 import re
 from functools import lru_cache
+from itertools import compress
+from operator import not_
 
 import numpy as np
 
 END_ID = 1
-_KEEP = 700_000
+_KEEP = 500_000
 _CALL = 200
 _SPECIAL = b"<|"
 _PLAIN = re.compile(r"[\t-\r !-&(-~À-ÖØ-öø-ÿ]*")
@@ -46,52 +51,55 @@ class Encoder:
         self.size = max(vocabulary.values()) + 1
         self.ends = np.zeros(self.size, bool)
         self.ends[[i for piece, i in vocabulary.items() if piece.endswith("</w>")]] = True
-        self.known: dict[str, bytes] = {}
+        self.words: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _learn(self, new: list[str]) -> None:
-        """Ids of new runs; a run is one piece and so ends in its only end-of-word id."""
+    def _learn(self, new: list[bytes]) -> None:
+        """Ids of new words; each run of a plain word is one piece and so has one end-of-word id, its last."""
+        if len(self.words) + len(new) > _KEEP:
+            self.words, self.older = {}, self.words
+        known, older = self.words, self.older.get
+        fresh = []
+        for word in new:
+            if (ids := older(word)) is None:
+                fresh.append(word)
+            else:
+                known[word] = ids
+        new = fresh
         for at in range(0, len(new), _CALL):
-            part = new[at : at + _CALL]
-            plain = [r for r in part if _PLAIN.fullmatch(r)]
-            ids = np.array(self.tokenizer.encode(" ".join(plain), add_special_tokens=False).ids, "<u4")
-            cuts = np.flatnonzero(self.ends[ids]) + 1
-            if cuts.size != len(plain):
-                plain, cuts = [], cuts[:0]
+            plain, said, pieces = [], [], []
+            for word in new[at : at + _CALL]:
+                text = word.decode("utf-8", "replace")
+                if _PLAIN.fullmatch(text):
+                    plain.append(word)
+                    said.append(text)
+                    pieces.append(len(_RUN.findall(text.lower())))
+                else:
+                    known[word] = self._whole(text)
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(said)], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            if ends.size != sum(pieces):
+                known.update((w, self._whole(t)) for w, t in zip(plain, said))
+                continue
             data, start = ids.tobytes(), 0
-            for run, cut in zip(plain, (cuts * 4).tolist()):
-                self.known[run] = data[start:cut]
+            for word, cut in zip(plain, (ends[np.cumsum(pieces, dtype=np.int64) - 1] * 4).tolist()):
+                known[word] = data[start:cut]
                 start = cut
-            if len(plain) < len(part):
-                self.known.update((r, self._whole(r)) for r in set(part).difference(plain))
-
-    def _runs(self, text: bytes | None) -> list[str]:
-        if not text:
-            return []
-        said = text.decode()
-        if _SPECIAL in text:
-            return [said]
-        if _PLAIN.fullmatch(said):
-            return _RUN.findall(said.lower())
-        words = [w.decode() for w in text.split()]  # at ASCII white space
-        return [r for w in words for r in (_RUN.findall(w.lower()) if _PLAIN.fullmatch(w) else [w])]
 
     def encode_many(self, texts: list[bytes | None]) -> list[bytes]:
-        cut = [self._runs(t) for t in texts]
-        found = [list(map(self.known.get, runs)) for runs in cut]  # one look-up a run: it is much of the cost
-        if new := {r for runs, f in zip(cut, found) for r, ids in zip(runs, f) if ids is None}:
-            if len(self.known) + len(new) > _KEEP:
-                self.known.clear()
+        cut = [t.split() if t and _SPECIAL not in t else [] for t in texts]  # at ASCII white space
+        found = [list(map(self.words.get, words)) for words in cut]
+        fresh = [i for i, f in enumerate(found) if None in f]
+        if fresh:
+            new = {w for i in fresh for w in compress(cut[i], map(not_, found[i]))}
             self._learn(list(new))
-        known, out = self.known, []
-        for runs, f in zip(cut, found):
-            try:
-                out.append(b"".join(f))
-            except TypeError:  # a new run among them
-                out.append(b"".join([known[r] if ids is None else ids for r, ids in zip(runs, f)]))
-        return out
+            known = self.words
+            for i in fresh:
+                found[i] = [known[w] if ids is None else ids for w, ids in zip(cut[i], found[i])]
+        return [self._whole(t.decode("utf-8", "replace")) if t and _SPECIAL in t else b"".join(f) for t, f in zip(texts, found)]
 
 
 @lru_cache(maxsize=4)
