@@ -34,7 +34,7 @@ def test_equals_sql(spark, duck, name):
     assert len(a) == len(b) > 0
     for x, y in zip(a, b):
         for p, q in zip(x, y):
-            assert p == q or (isinstance(p, float) and math.isclose(p, q, abs_tol=2e-6)), (x, y)
+            assert p == q or (isinstance(p, float) and math.isclose(p, q, rel_tol=1e-12)), (x, y)
 
 
 def test_every_query_has_sql():

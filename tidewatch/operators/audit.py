@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewatch.functions.numbers import deviation_of, mean_of
+
 
 def statistics(df: DataFrame, value: str, *by: str, sample: bool = False) -> DataFrame:
     """n, least, greatest, mean, deviation and distinct values (6 decimals) of a column."""
-    spread = F.coalesce(F.stddev_samp(value), F.lit(0.0)) if sample else F.stddev_pop(value)
-    return df.where(F.col(value).isNotNull()).groupBy(*by).agg(
-        F.count(F.lit(1)).alias("n"), F.min(value).alias("min"), F.max(value).alias("max"), F.avg(value).alias("mean"),
-        spread.alias("std"), F.count_distinct(F.bround(value, 6)).alias("n_unique"),
+    x = F.col(value)
+    return df.where(x.isNotNull()).groupBy(*by).agg(
+        F.count(F.lit(1)).alias("n"), F.min(x).alias("min"), F.max(x).alias("max"), mean_of(x).alias("mean"),
+        deviation_of(x, sample).alias("std"), F.count_distinct(F.bround(x, 6)).alias("n_unique"),
     )
 
 

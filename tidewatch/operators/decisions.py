@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewatch.functions.numbers import even
+
 RULES = ("KL_only", "KS_only", "KL_AND_KS", "JS_only", "Wasserstein_only", "Ensemble_majority")
 # Thresholds in use without calibration.
 DEFAULTS = {"kl": 0.05, "kl_critical": 0.15, "alpha": 0.05, "js": 0.03, "wasserstein": 0.05}
@@ -45,10 +47,10 @@ def summarise(decided: DataFrame, drift_point: Column, size: int, step: int) ->
         F.count_if(F.col("severity") == "critical").alias("n_critical"),
         F.count_if(F.col("drift") & (F.col("end") < F.col("_dp"))).alias("false_alarms"),
         F.coalesce(F.bool_or(F.col("drift") & (F.col("start") >= F.col("_dp"))), F.lit(False)).alias("true_detection"),
-        F.max(F.bround("kl", 6)).alias("max_kl"),
-        F.max(F.bround("js", 6)).alias("max_js"),
-        F.max(F.bround("wasserstein", 6)).alias("max_wasserstein"),
-        F.coalesce(F.min(F.when(~F.isnan("ks_p"), F.bround("ks_p", 6))), F.lit(1.0)).alias("min_ks_p"),
+        F.max(even(F.col("kl"), 6)).alias("max_kl"),
+        F.max(even(F.col("js"), 6)).alias("max_js"),
+        F.max(even(F.col("wasserstein"), 6)).alias("max_wasserstein"),
+        F.coalesce(F.min(F.when(~F.isnan("ks_p"), even(F.col("ks_p"), 6))), F.lit(1.0)).alias("min_ks_p"),
         F.count(F.lit(1)).alias("n_windows"),
         F.max("_dp").alias("_dp"),
     )

@@ -2,33 +2,40 @@
 
 A stream is rows (stream, pos, uc).  Window 0 is the reference prefix, the first
 ``size`` rows; window k >= 1 starts ``step`` rows after window k - 1.  Work is
-keyed by (stream, window), so one long stream still spreads over all tasks.
+keyed by (stream, window), so one long stream spreads over all tasks, but for the
+references that depend on earlier decisions or all earlier values (``grid``).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch.functions import divergence
+from tidewatch.functions.numbers import even, exact, mean_of
+from tidewatch.storage import stored
+
+#: Windows whose histograms one task adds up for ``multi_reference``.
+_RUN = 256
 
 
 def positions(df: DataFrame, time: str, *ties: str, by: str = "stream") -> DataFrame:
     """Add ``pos``, the row's place in its stream from 0.
 
-    Rows are ranked within an hour and hours by their counts, so no task sorts a
-    whole stream; only one row per stream and hour passes the second window.
+    Rows are dealt into sampled ranges of (stream, time, ties), ranked within a range,
+    and ranges follow each other by their counts.  A range is a task's share of the
+    rows whatever their times are, so neither a busy hour nor equal or null times
+    land in one task unless the ties are equal too.
     """
-    hour = F.date_trunc("hour", F.col(time))
-    rows = df.withColumn("_hour", F.coalesce(hour, F.lit("0001-01-01 00:00:00").cast("timestamp")))
-    before = Window.partitionBy(by).orderBy("_hour").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = rows.groupBy(by, "_hour").agg(F.count(F.lit(1)).alias("_n")).withColumn("_base", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-    within = Window.partitionBy(by, "_hour").orderBy(time, *ties)
-    ranked = rows.withColumn("_rn", F.row_number().over(within))
-    return ranked.join(offsets, [by, "_hour"]).withColumn("pos", F.col("_base") + F.col("_rn") - 1).drop("_hour", "_base", "_rn")
+    ranged = stored(df.repartitionByRange(by, time, *ties).withColumn("_range", F.spark_partition_id()), "ranges")
+    before = Window.partitionBy(by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # a row per stream and range
+    offsets = ranged.groupBy(by, "_range").agg(F.count(F.lit(1)).alias("_n")).withColumn("_base", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    within = Window.partitionBy(by, "_range").orderBy(time, *ties)
+    ranked = ranged.withColumn("_rn", F.row_number().over(within))
+    return ranked.join(offsets, [by, "_range"]).withColumn("pos", F.col("_base") + F.col("_rn") - 1).drop("_range", "_base", "_rn")
 
 
-def assign(rows: DataFrame, size: int, step: int) -> DataFrame:
+def assign(rows: DataFrame, size: int | Column, step: int | Column) -> DataFrame:
     """A row per (row, window that holds it); column idx."""
     at = F.col("pos") - size
     last = F.floor(at / step)
@@ -38,18 +45,51 @@ def assign(rows: DataFrame, size: int, step: int) -> DataFrame:
 
 
 def summaries(assigned: DataFrame, size: int) -> DataFrame:
-    """Per window: rows, missing, mean, population deviation, least, greatest; short tails are left out."""
-    got = assigned.groupBy("stream", "idx").agg(
+    """Per window: rows, missing, and mean, population deviation, least and greatest (four places; NaN without values).
+
+    Short tails are left out.  The deviation is of the distances from the mean, both
+    from sums that are exact to ten places.
+    """
+    means = assigned.groupBy("stream", "idx").agg(
         F.count(F.lit(1)).alias("n"),
         F.count_if(F.col("uc").isNull()).alias("n_missing"),
-        F.avg("uc").alias("mean"),
-        F.stddev_pop("uc").alias("std"),
+        mean_of(F.col("uc")).alias("mean"),
+        F.sum(exact(F.col("uc")) * exact(F.col("uc"))).cast("double").alias("squares"),
         F.min("uc").alias("min"),
         F.max("uc").alias("max"),
         F.min("pos").alias("start"),
         F.max("pos").alias("end"),
     )
-    return got.where(F.col("n") >= max(5, size // 10))
+    got = means.withColumn("std", F.sqrt(F.greatest(F.col("squares") / (F.col("n") - F.col("n_missing")) - F.col("mean") * F.col("mean"), F.lit(0.0))))
+    seen = lambda c: F.coalesce(even(F.col(c), 4), F.lit(float("nan"))).alias(c)
+    return got.where(F.col("n") >= max(5, size // 10)).select("stream", "idx", "n", "n_missing", seen("mean"), seen("std"), seen("min"), seen("max"), "start", "end")
+
+
+def value_counts(assigned: DataFrame, field: str) -> DataFrame:
+    """Rows of each value of a column in each window; null and empty count as unknown."""
+    name = F.when(F.col(field).cast("string") != "", F.col(field).cast("string")).otherwise("unknown")
+    return assigned.groupBy("stream", "idx", name.alias("key")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def edges_by_quantile(prefix: DataFrame, bins: int) -> DataFrame:
+    """Per stream: edges at the quantiles of the prefix's values, each once; equal widths if fewer than two are left."""
+    shares = ", ".join(f"{k / bins!r}D" for k in range(bins + 1))
+    even_widths = F.array(*[F.lit(k * (1.0 / bins) if k < bins else 1.0) for k in range(bins + 1)])
+    got = prefix.where("uc is not null").groupBy("stream").agg(F.array_sort(F.array_distinct(F.expr(f"percentile(uc, array({shares}))"))).alias("edges"))
+    return got.withColumn("edges", F.when(F.size("edges") < 2, even_widths).otherwise(F.col("edges")))
+
+
+def histograms_by_quantile(assigned: DataFrame, bins: int) -> DataFrame:
+    """Counts of each window over the edges of its stream's prefix; values outside them are in no bin."""
+    edges = edges_by_quantile(assigned.where("idx = 0"), bins)  # a row per stream
+    rows = assigned.join(edges, "stream")
+    x, at = F.col("uc"), F.size(F.filter("edges", lambda e: e <= F.col("uc"))) - 1
+    inside = (x >= F.col("edges")[0]) & (x <= F.element_at("edges", -1))
+    rows = rows.withColumn("bin", F.when(inside, F.least(at, F.size("edges") - 2)))
+    cells = rows.groupBy("stream", "idx", F.size("edges").alias("m"), "bin").agg(F.count(F.lit(1)).alias("n"))
+    maps = cells.groupBy("stream", "idx", "m").agg(F.map_from_entries(F.collect_list(F.when(F.col("bin").isNotNull(), F.struct("bin", "n")))).alias("c"))
+    dense = F.transform(F.sequence(F.lit(0), F.col("m") - 2), lambda k: F.coalesce(F.try_element_at("c", k), F.lit(0).cast("long")))
+    return maps.select("stream", "idx", dense.alias("counts"))
 
 
 def histograms(assigned: DataFrame, bins: int) -> DataFrame:
@@ -61,20 +101,23 @@ def histograms(assigned: DataFrame, bins: int) -> DataFrame:
 
 
 def referenced(hist: DataFrame, mode: str) -> DataFrame:
-    """Add ``ref``, the reference's counts: fixed_first, rolling or multi_reference."""
-    order = Window.partitionBy("stream").orderBy("idx")
+    """Add ``ref``, the reference's counts, and ``reference_idx``: fixed_first (also any unknown mode), rolling or multi_reference."""
     if mode == "rolling":
-        out = hist.withColumn("ref", F.lag("counts").over(order))
+        last = hist.select("stream", (F.col("idx") + 1).alias("idx"), F.col("counts").alias("ref"))
+        out = hist.join(last, ["stream", "idx"]).withColumn("reference_idx", F.col("idx") - 1)
     elif mode == "multi_reference":
-        # all windows up to the one before the last, and the prefix
-        long = hist.select("stream", "idx", F.posexplode("counts").alias("bin", "n"))
-        past = Window.partitionBy("stream", "bin").orderBy("idx")
-        total = F.coalesce(F.sum("n").over(past.rowsBetween(Window.unboundedPreceding, -2)), F.sum("n").over(past.rowsBetween(Window.unboundedPreceding, -1)))
-        summed = long.withColumn("r", total).groupBy("stream", "idx").agg(F.transform(F.array_sort(F.collect_list(F.struct("bin", "r"))), lambda x: x.r).alias("ref"))
-        out = hist.join(summed, ["stream", "idx"])
+        # all windows up to the one before the last, and the prefix: sums within runs of windows, and of the runs before
+        long = hist.select("stream", "idx", F.expr(f"idx div {_RUN}").alias("run"), F.posexplode("counts").alias("bin", "n"))
+        inner = Window.partitionBy("stream", "run", "bin").orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)
+        before = Window.partitionBy("stream", "bin").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
+        runs = long.groupBy("stream", "run", "bin").agg(F.sum("n").alias("t")).withColumn("base", F.coalesce(F.sum("t").over(before), F.lit(0))).drop("t")
+        sums = long.withColumn("upto", F.sum("n").over(inner)).join(runs, ["stream", "run", "bin"]).select("stream", "idx", "bin", (F.col("upto") + F.col("base")).alias("r"))
+        whole = sums.groupBy("stream", "idx").agg(F.transform(F.array_sort(F.collect_list(F.struct("bin", "r"))), lambda x: x.r).alias("ref"))
+        later = whole.select("stream", F.explode(F.when(F.col("idx") == 0, F.array(F.lit(1).cast("long"), F.lit(2).cast("long"))).otherwise(F.array(F.col("idx") + 2))).alias("idx"), "ref")
+        out = hist.join(later, ["stream", "idx"]).withColumn("reference_idx", F.col("idx") - 1)
     else:
         first = hist.where("idx = 0").select("stream", F.col("counts").alias("ref"))
-        out = hist.join(first, "stream")  # one row a stream: below the size limit it is broadcast, else shuffled
+        out = hist.join(first, "stream").withColumn("reference_idx", F.lit(0).cast("long"))  # one row a stream: broadcast below the size limit, else shuffled
     return out.where("idx > 0")
 
 
@@ -111,7 +154,7 @@ def distances(assigned: DataFrame, mode: str = "fixed_first") -> DataFrame:
         F.lead("v").over(order).alias("next"),
     )
     apart = F.abs(F.col("cr") * F.col("n2") - F.col("cw") * F.col("n1"))
-    got = run.groupBy("stream", "idx").agg(F.max("n1").alias("n1"), F.max("n2").alias("n2"), F.max(apart).alias("k"), F.sum(apart * (F.col("next") - F.col("v"))).alias("area"))
+    got = run.groupBy("stream", "idx").agg(F.max("n1").alias("n1"), F.max("n2").alias("n2"), F.max(apart).alias("k"), F.sum(apart.cast("decimal(16,0)") * exact(F.col("next") - F.col("v"))).cast("double").alias("area"))
     whole = (F.col("n1") * F.col("n2")).cast("double")
     some = whole > 0
     return got.select(

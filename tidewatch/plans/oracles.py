@@ -13,10 +13,23 @@ def _windows(step: int) -> str:
 a AS (SELECT b.*, s.idx FROM base b JOIN starts s ON b.pos >= s.first AND b.pos < s.first + 200)"""
 
 
+def _even(x: str, digits: int) -> str:
+    return f"(round_even(({x}) * 1e{digits}::DOUBLE, 0) / 1e{digits}::DOUBLE)"
+
+
+def _mean(x: str) -> str:
+    return f"(sum({x}::DECIMAL(14, 10))::DOUBLE / count({x})::DOUBLE)"
+
+
+def _squares(x: str) -> str:
+    return f"sum({x}::DECIMAL(14, 10) * {x}::DECIMAL(14, 10))::DOUBLE"
+
+
 def _summary(step: int) -> str:
-    return f"""WITH {_windows(step)} SELECT stream, idx, count(*) AS n, count(*) FILTER (uc IS NULL) AS n_missing, round(avg(uc), 6) AS mean,
-  round(stddev_pop(uc), 6) AS std, min(uc) AS min, max(uc) AS max, min(pos) AS start, max(pos) AS "end"
-FROM a GROUP BY stream, idx HAVING count(*) >= 20"""
+    return f"""WITH {_windows(step)}, m AS (SELECT stream, idx, count(*) AS n, count(*) FILTER (uc IS NULL) AS n_missing, {_mean('uc')} AS mean,
+  {_squares('uc')} AS squares, count(uc) AS seen, min(uc) AS min, max(uc) AS max, min(pos) AS start, max(pos) AS "end" FROM a GROUP BY stream, idx HAVING count(*) >= 20)
+SELECT stream, idx, n, n_missing, {_even('mean', 4)} AS mean, {_even('sqrt(greatest(squares / seen::DOUBLE - mean * mean, 0))', 4)} AS std,
+  {_even('min', 4)} AS min, {_even('max', 4)} AS max, start, "end" FROM m"""
 
 
 _EDGES = "[CASE WHEN k = 20 THEN 1.0::DOUBLE ELSE k * (1.0::DOUBLE / 20) END FOR k IN range(0, 21)]"
@@ -53,7 +66,7 @@ vals AS (SELECT idx, v, sum(r) AS r, sum(w) AS w FROM pair GROUP BY 1, 2),
 run AS (SELECT idx, v, sum(r) OVER o AS cr, sum(w) OVER o AS cw, sum(r) OVER (PARTITION BY idx) AS n1, sum(w) OVER (PARTITION BY idx) AS n2, lead(v) OVER o AS nx
   FROM vals WINDOW o AS (PARTITION BY idx ORDER BY v)),
 dist AS (SELECT idx, max(n1)::BIGINT AS n1, max(n2)::BIGINT AS n2, max(abs(cr * n2 - cw * n1))::BIGINT AS k,
-  max(abs(cr * n2 - cw * n1))::DOUBLE / max(n1 * n2)::DOUBLE AS ks_stat, coalesce(sum(abs(cr * n2 - cw * n1)::DOUBLE * (nx - v)), 0) / max(n1 * n2)::DOUBLE AS wasserstein
+  max(abs(cr * n2 - cw * n1))::DOUBLE / max(n1 * n2)::DOUBLE AS ks_stat, coalesce(sum(abs(cr * n2 - cw * n1)::DECIMAL(16, 0) * (nx - v)::DECIMAL(14, 10))::DOUBLE, 0) / max(n1 * n2)::DOUBLE AS wasserstein
   FROM run GROUP BY idx)"""
 
 
@@ -70,15 +83,16 @@ d AS (SELECT v.*, rule, CASE rule WHEN 'KL_only' THEN vk WHEN 'KS_only' THEN vs
 ds AS (SELECT *, CASE WHEN NOT drift THEN 'none' WHEN kl >= 0.15 THEN 'critical' ELSE 'warning' END AS severity FROM d)"""
 _REPORT = f"""{_DECIDED}, rep AS (SELECT stream, rule, bool_or(drift) AS drift_detected, min(idx - 1) FILTER (drift) AS first_detection,
   count(*) FILTER (severity = 'warning') AS n_warning, count(*) FILTER (severity = 'critical') AS n_critical, count(*) FILTER (drift AND "end" < 600) AS false_alarms,
-  coalesce(bool_or(drift AND start >= 600), false) AS true_detection, max(round(kl, 6)) AS max_kl, max(round(js, 6)) AS max_js, max(round(wasserstein, 6)) AS max_wasserstein,
-  coalesce(min(round(ks_p, 6)), 1.0) AS min_ks_p, count(*) AS n_windows, min(idx - 1) FILTER (drift) - greatest(0, (600 - 200) // 200) AS detection_delay
+  coalesce(bool_or(drift AND start >= 600), false) AS true_detection, max({_even('kl', 6)}) AS max_kl, max({_even('js', 6)}) AS max_js, max({_even('wasserstein', 6)}) AS max_wasserstein,
+  coalesce(min({_even('ks_p', 6)}), 1.0) AS min_ks_p, count(*) AS n_windows, min(idx - 1) FILTER (drift) - greatest(0, (600 - 200) // 200) AS detection_delay
   FROM ds GROUP BY stream, rule)"""
 
 _LABEL = "CASE WHEN {x} IS NULL THEN 'UNKNOWN' WHEN lower(trim({x})) IN ('safe', '0') THEN 'SAFE' WHEN lower(trim({x})) IN ('unsafe', '1', 'hate', 'toxic', 'harmful') THEN 'UNSAFE' ELSE upper(trim({x})) END"
 
 
-def _stats(std: str) -> str:
-    return f"""WITH {_BASE} SELECT source, count(*) AS n, min(uc) AS min, max(uc) AS max, round(avg(uc), 6) AS mean, round({std}, 6) AS std,
+def _stats(below: str) -> str:
+    return f"""WITH {_BASE} SELECT source, count(*) AS n, min(uc) AS min, max(uc) AS max, {_even(_mean('uc'), 6)} AS mean,
+  {_even(f"sqrt(greatest({_squares('uc')} - sum(uc::DECIMAL(14, 10))::DOUBLE * sum(uc::DECIMAL(14, 10))::DOUBLE / count(uc)::DOUBLE, 0) / ({below})::DOUBLE)", 6)} AS std,
   count(DISTINCT round(uc, 6)) AS n_unique FROM base WHERE uc IS NOT NULL GROUP BY source"""
 
 
@@ -92,8 +106,8 @@ SQL: dict[str, str] = {
 SELECT event_id, event_id::VARCHAR AS id, 'unknown' AS language, 'UNKNOWN' AS true_label, predicted,
   round(CASE WHEN k = 0 THEN c WHEN k = 1 THEN 1 - c WHEN predicted = 'SAFE' THEN 1 - c ELSE c END, 6) AS unsafe_confidence,
   CASE WHEN k < 2 THEN 'direct_unsafe_probability' ELSE 'derived_from_pred_confidence' END AS confidence_source, 'unknown' AS source FROM x""",
-    "conf_stats": _stats("stddev_pop(uc)"),
-    "conf_summary_sample_std": _stats("coalesce(stddev_samp(uc), 0)"),
+    "conf_stats": _stats("count(uc)"),
+    "conf_summary_sample_std": _stats("greatest(count(uc) - 1, 1)"),
     "language_distribution": f"WITH {_BASE} SELECT source, language AS key, count(*) AS n, round(count(*) / sum(count(*)) OVER (PARTITION BY source)::DOUBLE, 4) AS share FROM base GROUP BY source, language",
     "label_distribution": f"""WITH {_BASE} SELECT CASE WHEN uc >= 0.5 THEN 'UNSAFE' ELSE 'SAFE' END AS key, count(*) AS n,
   round(count(*) / sum(count(*)) OVER ()::DOUBLE, 4) AS share FROM base GROUP BY 1""",
@@ -107,8 +121,8 @@ UNION ALL SELECT user_id, source, 'constant' FROM g WHERE c UNION ALL SELECT use
     "window_sliding": _summary(100),
     "hist_equal_width": f"WITH {_HIST} SELECT 'events' AS stream, idx, bin, n FROM h",
     "hist_bin_edges": f"SELECT {_bin('(l_quantity::DOUBLE / 50)')} AS bin, count(*) AS n FROM lineitem GROUP BY 1",
-    "window_metrics": f"""WITH {_ALL} SELECT stream, idx, n, round(kl, 6) AS kl, round(js, 6) AS js, round(ks_stat, 6) AS ks_stat, round(ks_p, 6) AS ks_p,
-  round(wasserstein, 6) AS wasserstein FROM m""",
+    "window_metrics": f"""WITH {_ALL} SELECT stream, idx, n, {_even('kl', 6)} AS kl, {_even('js', 6)} AS js, {_even('ks_stat', 6)} AS ks_stat, {_even('ks_p', 6)} AS ks_p,
+  {_even('wasserstein', 6)} AS wasserstein FROM m""",
     "decision_rules": f"WITH {_DECIDED} SELECT stream, idx, rule, drift, severity FROM ds",
     "report_summary": f"WITH {_REPORT} SELECT * FROM rep",
     "best_per_stream": f"""WITH {_REPORT} SELECT stream, rule, detection_delay, false_alarms, true_detection FROM rep
@@ -116,7 +130,7 @@ UNION ALL SELECT user_id, source, 'constant' FROM g WHERE c UNION ALL SELECT use
     list_position(['KL_only', 'KS_only', 'KL_AND_KS', 'JS_only', 'Wasserstein_only', 'Ensemble_majority'], rule)) = 1""",
 }
 for _mode in _REF:
-    SQL[f"divergence_{_mode}"] = f"WITH {_metrics(_mode)} SELECT 'events' AS stream, idx, round(kl, 6) AS kl, round(js, 6) AS js FROM div"
-for _mode in ("fixed_first", "rolling"):
-    SQL[f"distance_{_mode}"] = f"""WITH {_HIST}, {_distances(_mode)} SELECT 'events' AS stream, idx, n1, n2, k, round(ks_stat, 6) AS ks_stat,
-  round(wasserstein, 6) AS wasserstein FROM dist"""
+    SQL[f"divergence_{_mode}"] = f"WITH {_metrics(_mode)} SELECT 'events' AS stream, idx, {_even('kl', 6)} AS kl, {_even('js', 6)} AS js FROM div"
+for _mode in _REF:
+    SQL[f"distance_{_mode}"] = f"""WITH {_HIST}, {_distances(_mode)} SELECT 'events' AS stream, idx, n1, n2, k, {_even('ks_stat', 6)} AS ks_stat,
+  {_even('wasserstein', 6)} AS wasserstein FROM dist"""

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewatch.functions import divergence, records
+from tidewatch.functions.numbers import even
 from tidewatch.operators import audit, decisions, windows
 
 from . import bindings, oracles
@@ -21,7 +22,7 @@ def query(f):
 
 
 def rounded(df: DataFrame, *names: str) -> DataFrame:
-    return df.withColumns({n: F.round(n, 6) for n in names})
+    return df.withColumns({n: even(F.col(n), 6) for n in names})
 
 
 def assigned(spark: SparkSession, sf_dir: str, step: int = SIZE, size: int = SIZE) -> DataFrame:
@@ -85,12 +86,12 @@ def preflight_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def window_tumbling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(windows.summaries(assigned(spark, sf_dir), SIZE), "mean", "std")
+    return windows.summaries(assigned(spark, sf_dir), SIZE)
 
 
 @query
 def window_sliding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(windows.summaries(assigned(spark, sf_dir, SIZE // 2), SIZE), "mean", "std")
+    return windows.summaries(assigned(spark, sf_dir, SIZE // 2), SIZE)
 
 
 @query
