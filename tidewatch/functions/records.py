@@ -106,9 +106,10 @@ def prompt(text: Column, language: Column) -> Column:
 
 def softmax(logits: Column) -> Column:
     """Shares of an array of logits."""
-    top = F.array_max(logits)
-    powers = F.transform(logits, lambda x: F.exp(x - top))
-    return F.transform(powers, lambda x: x / F.aggregate(powers, F.lit(0.0), lambda a, y: a + y))
+    once = lambda value, body: F.transform(F.array(value), body)[0]  # noqa: E731  (computes the value once, not per element)
+    powers = once(F.array_max(logits), lambda top: F.transform(logits, lambda x: F.exp(x - top)))
+    with_total = once(powers, lambda p: F.struct(p.alias("p"), F.aggregate(p, F.lit(0.0), lambda a, x: a + x).alias("total")))
+    return once(with_total, lambda s: F.transform(s["p"], lambda x: x / s["total"]))
 
 
 def class_probabilities(shares: Column, safe: list[int], unsafe: list[int]) -> tuple[Column, Column]:

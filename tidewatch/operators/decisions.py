@@ -17,6 +17,16 @@ def thresholds(over: dict | None = None) -> dict:
     return DEFAULTS | {k: v for k, v in (over or {}).items() if k in DEFAULTS and v is not None}
 
 
+# The names of thresholds in a file; the critical KL is three times the warning one.
+FILE_KEYS = {"kl": "kl_threshold_95", "alpha": "ks_alpha", "js": "js_threshold_95", "wasserstein": "wasserstein_threshold_95"}
+
+
+def overlay(found: dict) -> dict:
+    """The defaults with a file's thresholds; the critical KL follows a KL that the file sets."""
+    t = thresholds(found)
+    return t | ({"kl_critical": 3 * t["kl"]} if found.get("kl") is not None else {})
+
+
 def votes(t: dict) -> dict[str, Column]:
     return {
         "KL": F.col("kl") >= t["kl"],

@@ -129,10 +129,18 @@ def divergences(hist: DataFrame, mode: str = "fixed_first") -> DataFrame:
 
 
 def sample_pairs(assigned: DataFrame, mode: str = "fixed_first") -> DataFrame:
-    """Rows (stream, idx, v, r, w): each window's values and its reference's (fixed_first or rolling)."""
+    """Rows (stream, idx, v, r, w): each window's values and its reference's.
+
+    A ``multi_reference`` takes the values of all earlier windows: rows grow with the square
+    of a stream's windows, as that mode's definition does; ``grid.fold`` does it in one walk.
+    """
     rows = assigned.where("uc is not null").select("stream", "idx", F.col("uc").alias("v"))
     mine = rows.where("idx > 0").select("*", F.lit(0).alias("r"), F.lit(1).alias("w"))
-    if mode == "rolling":
+    if mode == "multi_reference":
+        ids = rows.where("idx > 0").select("stream", F.col("idx").alias("of")).distinct()
+        past = (F.col("idx") == 0) | (F.col("idx") <= F.col("of") - 2)
+        theirs = ids.join(rows, "stream").where(past).select("stream", F.col("of").alias("idx"), "v")
+    elif mode == "rolling":
         last = rows.groupBy("stream").agg(F.max("idx").alias("top"))
         theirs = rows.join(last, "stream").where("idx < top").select("stream", (F.col("idx") + 1).alias("idx"), "v")
     else:

@@ -9,11 +9,11 @@ from tidewatch.functions import divergence, records
 from tidewatch.functions.numbers import even
 from tidewatch.operators import audit, decisions, windows
 
-from . import bindings, oracles
+from . import bindings, extended, oracles
 from .bindings import SIZE
 
-QUERIES: dict = {}
-ORACLE_SQL = oracles.SQL
+QUERIES: dict = {**extended.QUERIES}
+ORACLE_SQL = {**oracles.SQL, **extended.SQL}
 
 
 def query(f):
@@ -124,7 +124,7 @@ def _distances(mode: str):
     return run
 
 
-for _mode in ("fixed_first", "rolling"):
+for _mode in ("fixed_first", "rolling", "multi_reference"):
     QUERIES[f"distance_{_mode}"] = _distances(_mode)
 
 
