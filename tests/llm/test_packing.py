@@ -25,6 +25,12 @@ def test_shortest_pack_gets_the_next_length():
     assert packing.shortest_pack_first({6: 1, 5: 1, 4: 1, 1: 1}, 10) == [((6, 1), 1), ((5, 4), 1)]
 
 
+def test_one_length_alone_fills_packs():
+    assert packing.shortest_pack_first({100: 1000}, 2048) == [((100,) * 20, 50)]
+    assert sorted(packing.shortest_pack_first({700: 7}, 2048)) == [((700,), 1), ((700, 700), 3)]
+    assert packing.shortest_pack_first({64: 3}, 64) == [((64,), 3)] and packing.shortest_pack_first({}, 64) == []
+
+
 def check(rows, docs, max_len, spark):
     t = tokens.encoder(tokens.default_vocabulary()).tokenizer
     want = Counter()

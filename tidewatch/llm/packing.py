@@ -39,7 +39,11 @@ def shortest_pack_first(histogram: dict[int, int], max_len: int) -> list[tuple[t
         while left:
             room = max((r for r, packs in by_room.items() if packs), default=-1)
             if room < length:
-                by_room.setdefault(max_len - length, []).append(((length,), left))
+                # new packs fill up one after the other: full ones of this length alone, and one with the rest
+                fit = max_len // length
+                for k, packs in ((fit, left // fit), (left % fit, 1)):
+                    if k and packs:
+                        by_room.setdefault(max_len - k * length, []).append(((length,) * k, packs))
                 break
             pattern, count = by_room[room].pop()
             moved = min(count, left)
