@@ -68,3 +68,43 @@ def test_keep_one_keeps_a_row_of_each_component(spark):
     want = brute(docs)
     assert len(got) == len({c for _, c in want.values()}) and got[0].__fields__ == ["doc_id", "text", "fp"]
     assert simhash.keep_one(df.where(F.lit(False))).collect() == []
+
+
+def test_components_of_a_chain_take_few_rounds(spark, monkeypatch):
+    made = []
+    real = simhash.stored
+    monkeypatch.setattr(simhash, "stored", lambda df, name, **o: made.append(name) or real(df, name, **o))
+    n = 300
+    pairs = spark.createDataFrame([(i, i + 1) for i in range(n)] + [(1000, 1001), (1001, 1002), (1000, 1002)], "a long, b long")
+    got = {r.node: r.root for r in simhash.components(pairs).collect()}
+    assert len(got) == n + 4 and len({got[i] for i in range(n + 1)}) == 1 and len({got[i] for i in (1000, 1001, 1002)}) == 1 and got[0] != got[1000]
+    assert made.count("edges") <= 9
+
+
+def test_one_hot_bucket(spark):
+    rng = random.Random(6)
+    base = rng.getrandbits(64)
+    fps = {base ^ sum(1 << i for i in rng.sample(range(20), rng.randint(0, 4))) for _ in range(800)}
+    fps |= {rng.getrandbits(64) for _ in range(200)}
+    signed = [f - (1 << 64) if f >> 63 else f for f in fps]
+    nodes = spark.createDataFrame([(f,) for f in signed], "fp long")
+    root = {f: f for f in fps}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    some = sorted(fps)
+    for n, a in enumerate(some):
+        for b in some[n + 1 :]:
+            if (a ^ b).bit_count() <= 4:
+                root[find(a)] = find(b)
+    want = {}
+    for f in fps:
+        want.setdefault(find(f), set()).add(f)
+    for block in (2048, 16):
+        got = {}
+        for r in simhash.components(simhash.links(nodes, 4, block)).collect():
+            got.setdefault(r.root, set()).add(r.node % (1 << 64))
+        assert sorted(map(sorted, got.values())) == sorted(sorted(v) for v in want.values() if len(v) > 1)

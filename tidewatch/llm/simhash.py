@@ -34,6 +34,7 @@ from .common import stored, texts
 BITS = 64
 SEED = 42
 _PIECE = 1 << 15
+_SALTS = 16
 
 
 def fingerprint(text: bytes, shingle: int = 4, hasher=xxhash.xxh64_intdigest) -> int:
@@ -103,12 +104,15 @@ def _forest(fps: np.ndarray, chunk: np.ndarray, cross: bool, radius: int) -> Ite
 def links(nodes: DataFrame, radius: int = 4, block: int = 2048) -> DataFrame:
     """Distinct pairs (a < b) of distinct fingerprints; their graph has the components of all links."""
     keys = nodes.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in masks(radius)])).alias("t", "key"))
-    bucket = Window.partitionBy("t", "key")
+    keys = keys.withColumn("salt", F.pmod(F.xxhash64("fp"), F.lit(_SALTS)).cast("int"))
+    # ranks within a bucket from counts by salt, so no task ranks or counts a whole bucket
+    bucket = Window.partitionBy("t", "key")  # of at most _SALTS rows
+    counts = keys.groupBy("t", "key", "salt").agg(F.count(F.lit(1)).alias("n"))
+    based = counts.select("t", "key", "salt", F.sum("n").over(bucket).alias("cnt"), (F.sum("n").over(bucket.orderBy("salt")) - F.col("n")).alias("base")).where("cnt > 1")
     chunk, chunks = F.expr(f"int((rn - 1) div {block})"), F.expr(f"int((cnt - 1) div {block})")
     dealt = (
-        keys.withColumn("cnt", F.count(F.lit(1)).over(bucket))
-        .where("cnt > 1")
-        .withColumn("rn", F.row_number().over(bucket.orderBy("fp")))
+        keys.join(based, ["t", "key", "salt"])
+        .withColumn("rn", F.col("base") + F.row_number().over(Window.partitionBy("t", "key", "salt").orderBy("fp")))
         .select("t", "key", "fp", chunk.alias("c"), F.explode(F.sequence(F.lit(0), chunks)).alias("d"))
         .select("t", "key", "fp", "c", F.least("c", "d").alias("i"), F.greatest("c", "d").alias("j"))
         .repartition("t", "key", "i", "j")
@@ -162,15 +166,21 @@ def links(nodes: DataFrame, radius: int = 4, block: int = 2048) -> DataFrame:
 def components(pairs: DataFrame) -> DataFrame:
     """Columns node and root for every node of ``pairs`` (a, b): root is the same in a component.
 
-    Each round every node points to its smallest neighbour (or itself) and the
-    graph is contracted along these pointers, so a round at least halves what a
-    component has left; the rounds' maps are joined at the end.
+    Each round every node points to the first of itself and its neighbours in an order
+    by hash that changes with the round, then to where that one points, and the graph is
+    contracted along these pointers.  A node with neighbours comes first among them with
+    a chance of one half at most, so rounds grow with the logarithm of the nodes,
+    whatever the graph (a chain in the order of its ids as well); the rounds' maps are
+    joined at the end.
     """
     rounds: list[DataFrame] = []
     edges = stored(pairs.select("a", "b"), "edges")
     while not edges.isEmpty():
+        rank = lambda c: F.struct(F.xxhash64(F.lit(len(rounds)), F.col(c)).alias("h"), F.col(c).alias("v"))
         both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionAll(edges.select("b", "a"))
-        up = stored(both.groupBy("u").agg(F.min("v").alias("p")).select("u", F.least("u", "p").alias("p")), "up")
+        first = both.groupBy("u").agg(F.min(rank("v")).alias("n")).select("u", F.least(F.col("n"), rank("u"))["v"].alias("p"))
+        first = stored(first, "up")
+        up = stored(first.join(first.select(F.col("u").alias("p"), F.col("p").alias("q")), "p").select("u", F.col("q").alias("p")), "up")
         rounds.append(up)
         ends = edges.join(up.select(F.col("u").alias("a"), F.col("p").alias("pa")), "a").join(up.select(F.col("u").alias("b"), F.col("p").alias("pb")), "b")
         edges = stored(ends.where("pa != pb").select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct(), "edges")
