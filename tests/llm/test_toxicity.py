@@ -77,3 +77,37 @@ def test_filter_keeps_columns(spark):
     assert toxicity.keep_clean(empty, model).count() == 0
     assert toxicity.score_rows(empty, model).count() == 0
     assert toxicity.sample(empty, table(spark, SF, "labels"), ~held_out(5), 10) == []
+
+
+def brute_score(text, model):
+    """Hits by trying every entry at every place, without an automaton."""
+    folded = toxicity.fold(text)
+    words = max(folded.count(" ") - 1, 0)
+    spans = [(i, i + len(p) - 1) for p in model.exceptions for i in range(len(folded)) if folded.startswith(p, i)]
+    total = 0.0
+    for i in range(len(folded)):
+        weight = max((w for p, w in model.entries.items() if folded.startswith(p, i)), default=0.0)
+        if weight > 0 and not any(a <= i and i + 1 <= b for a, b in spans):
+            total += weight
+    return model.score(total if words else 0.0, words)
+
+
+def test_fit_and_scores_on_held_out_labels(spark):
+    docs, labels = table(spark, "/root/testdata/sf0.1", "documents"), table(spark, "/root/testdata/sf0.1", "labels")
+    model = toxicity.fit(toxicity.sample(docs, labels, ~held_out(5), 20_000))
+    got = {r.doc_id: r.score for r in toxicity.score_rows(docs, model).collect()}
+    rows = docs.join(labels.where("toxic is not null"), "doc_id").where(held_out(5)).select("doc_id", "text", "toxic").collect()
+    for r in rows[:150]:
+        assert abs(got[r.doc_id] - brute_score(r.text, model)) < 1e-9
+    caught, wrong = [got[r.doc_id] >= 0.5 for r in rows if r.toxic], [got[r.doc_id] >= 0.5 for r in rows if not r.toxic]
+    assert sum(caught) >= 0.85 * len(caught) > 50 and sum(wrong) <= 0.01 * len(wrong)
+
+
+def test_long_words_and_repeated_ids(spark):
+    rows = [("x" * 50_000 + " bad", 1)] * 5 + [(f"a{chr(97 + i % 26)}b{chr(97 + i // 26)} awful{chr(97 + i % 26)}{chr(97 + i // 26)} z{chr(97 + i % 26)}q{chr(97 + i // 26)}", 1) for i in range(40)] + [(f"a{chr(97 + i % 26)}b{chr(97 + i // 26)} fine z{chr(97 + i % 26)}q{chr(97 + i // 26)}", 0) for i in range(200)]
+    model = toxicity.fit(rows)
+    assert " awful" in model.entries and sum(map(len, model.entries)) < 200_000
+    df = spark.createDataFrame([(1, "b"), (1, "a"), (None, "c"), (2, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0), (None, 1), (3, 1)], "doc_id long, toxic int")
+    got = [toxicity.sample(df.orderBy(F.rand(k)), labels, F.lit(True), 10) for k in range(3)]
+    assert got[0] == got[1] == got[2] and len(got[0]) == 2

@@ -20,9 +20,11 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from os.path import commonprefix
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +42,6 @@ _SEPARATORS = {c: " " for c in map(chr, range(128)) if not c.isalnum()}
 _FOLD = str.maketrans({**_SEPARATORS, **HOMOGLYPHS, **SUBSTITUTES, "ß": "ss", "æ": "ae", "ø": "o", "ł": "l", "­": "", "​": "", "‌": "", "‍": ""})
 #: A symbol is a letter only before one: "$tupid", but not "stupid$$$".
 _SYMBOL = re.compile(r"[@$](?![a-zA-Z])")
-_STRAY = re.compile(r"[^a-z]+")
 
 
 def fold(text: str | None) -> str:
@@ -108,13 +109,29 @@ def _significant(toxic: int, clean: int, base: float, log_tests: float) -> bool:
     return n * gain > log_tests
 
 
-def _keys(word: str, longest: int) -> list[str]:
-    """Patterns that find ``word``: its beginnings of 3 letters or more, and the whole of it."""
-    return [*(" " + word[:k] for k in range(3, min(len(word), longest) + 1)), f" {word} "]
+class _Patterns:
+    """Patterns that may become entries: toxic words as a whole, their letters as a beginning, and beginnings that differing toxic words share.
 
+    A beginning in between stands for the same words as the next longer one here, so none is
+    missing, and there are at most three patterns a word, whatever its length.
+    """
 
-def fit(rows: list[tuple[str, int]], max_entries: int = 2000, longest: int = 10, min_exceptions: int = 5) -> Lexicon:
-    """Lexicon from (text, label) pairs."""
+    def __init__(self, words: list[str]):
+        words = sorted(words)
+        shared = (commonprefix(pair) for pair in zip(words, words[1:]))
+        self.starts = {" " + w for w in [*words, *shared] if len(w) >= 3}
+        self.whole = {f" {w} " for w in words}
+        self.sizes = sorted({len(p) for p in self.starts})
+
+    def of(self, word: str) -> list[str]:
+        """Those that find ``word``."""
+        said = f" {word}"
+        found = [p for n in self.sizes[: bisect_right(self.sizes, len(said))] if (p := said[:n]) in self.starts]
+        return [*found, said + " "] if said + " " in self.whole else found
+
+
+def fit(rows: list[tuple[str, int]], min_exceptions: int = 5) -> Lexicon:
+    """Lexicon from (text, label) pairs; every significant entry is kept."""
     folded = [(fold(text), int(label)) for text, label in rows if label is not None]
     n, toxic_rows = len(folded), sum(label for _, label in folded)
     if not toxic_rows:
@@ -126,12 +143,12 @@ def fit(rows: list[tuple[str, int]], max_entries: int = 2000, longest: int = 10,
     for text, label in folded:
         counts[label].update(set(text.split()))
     # beginnings, by the rows of their words; " word " stands for the whole word
+    patterns = _Patterns(list(counts[1]))
     starts = {0: Counter(), 1: Counter()}
     for label in (1, 0):
         for w, k in counts[label].items():
-            for key in _keys(w, longest):
-                if label or key in starts[1]:
-                    starts[label][key] += k
+            for key in patterns.of(w):
+                starts[label][key] += k
     log_tests = math.log(100 * len(starts[1]))
     good = {k for k in starts[1] if _significant(starts[1][k], starts[0][k], base, log_tests)}
     # copies of a text are no further evidence: count different neighbourhoods instead of rows
@@ -141,7 +158,7 @@ def fit(rows: list[tuple[str, int]], max_entries: int = 2000, longest: int = 10,
         words = text.split()
         for before, w, after in zip(["", *words], words, [*words[1:], ""]):
             if (hit := known.get(w)) is None:
-                hit = known[w] = [k for k in _keys(w, longest) if k in good]
+                hit = known[w] = [k for k in patterns.of(w) if k in good]
             for k in hit:
                 contexts[label][k].add((before, after))
     toxic, clean = ({k: len(c) for k, c in contexts[label].items()} for label in (1, 0))
@@ -149,13 +166,14 @@ def fit(rows: list[tuple[str, int]], max_entries: int = 2000, longest: int = 10,
     entries: dict[str, float] = {}
     longer = Counter()
     for k in good:
-        longer[k[:-1]] = max(longer[k[:-1]], toxic[k])
+        inside = [p for p in patterns.of(k.strip()) if p != k and p in good and len(p) < len(k)]
+        if inside:
+            longer[inside[-1]] = max(longer[inside[-1]], toxic[k])
     for k in sorted(good, key=lambda k: (len(k), k)):
         if any(k[:n] in entries for n in range(4, len(k))) or longer[k] >= 0.97 * toxic[k]:
             continue  # a shorter entry covers it, or a longer one says the same more precisely
         entries[k] = math.log((toxic[k] + 0.5) / (toxic_rows + 1)) - math.log((clean[k] + 0.5) / (n - toxic_rows + 1))
-    kept = dict(sorted(entries.items(), key=lambda e: (-e[1], e[0]))[:max_entries])
-    model = Lexicon(kept)
+    model = Lexicon(dict(sorted(entries.items(), key=lambda e: (-e[1], e[0]))))
     model.exceptions = _exceptions(folded, model, min_exceptions)
     model.weights = _calibrate(folded, model)
     return model
@@ -196,12 +214,24 @@ def _calibrate(folded: list[tuple[str, int]], model: Lexicon) -> tuple[float, fl
     return max(float(a), 0.0), max(float(b), 0.0), float(bias)  # more hits never lower a score
 
 
-def sample(df: DataFrame, labels: DataFrame, learn: Column, max_rows: int, label_col: str = "toxic") -> list[tuple[str, int]]:
-    """At most ``max_rows`` labelled rows, those with the smallest id hashes, as (text, label)."""
+def sample(df: DataFrame, labels: DataFrame, learn: Column, max_rows: int, label_col: str = "toxic", max_bytes: int = 128 << 20) -> list[tuple[str, int]]:
+    """At most ``max_rows`` labelled rows, those with the smallest id hashes, as (text, label).
+
+    Rows are taken in the order of their id hashes until their texts hold ``max_bytes``;
+    of rows with one id the one with the smallest text digest counts.  Only the ids
+    travel: they are broadcast, and the texts are picked where they lie.
+    """
     known = labels.where(F.col(label_col).isNotNull()).groupBy("doc_id").agg(F.max(label_col).alias("label"))
-    rows = known.where(learn).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
-    got = df.select("doc_id", "text").join(rows, "doc_id").dropDuplicates(["doc_id"]).select("text", "label")
-    return [(r.text, r.label) for r in got.toLocalIterator()]
+    rows = known.where(learn).select("doc_id", "label", F.xxhash64("doc_id").alias("place")).orderBy("place", "doc_id").limit(max_rows)
+    found = df.select("doc_id", "text").join(F.broadcast(rows), "doc_id")  # max_rows ids
+    one = found.groupBy("place", "doc_id", "label").agg(F.min_by("text", F.coalesce(F.xxhash64("text"), F.lit(0))).alias("text"))
+    got, size = [], 0
+    for r in one.orderBy("place", "doc_id").toLocalIterator():
+        size += len((r.text or "").encode())
+        if got and size > max_bytes:
+            break
+        got.append((r.text, r.label))
+    return got
 
 
 def score_rows(df: DataFrame, model: Lexicon, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
