@@ -7,7 +7,7 @@ import re
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -46,12 +46,42 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
-def stored(df: DataFrame, name: str, **options: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: a lost executor costs no recomputation."""
+_stage: list[str] | None = None  # paths stored since the stage that runs began
+_before: list[str] = []  # and by the stage before it
+
+
+def put(df: DataFrame, name: str, **options: str) -> tuple[DataFrame, str]:
+    """Write ``df`` to the shared folder and read it back; also the path, for ``discard``."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tidewatch/{name}-{uuid.uuid4().hex}"
     df.write.options(**options).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    if _stage is not None:
+        _stage.append(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def stored(df: DataFrame, name: str, **options: str) -> DataFrame:
+    """``put`` without the path: a lost executor costs no recomputation."""
+    return put(df, name, **options)[0]
+
+
+def discard(spark: SparkSession, *paths: str) -> None:
+    """Delete stored tables that nothing will read again."""
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def staged(spark: SparkSession, make: Callable[[], DataFrame]) -> DataFrame:
+    """``make()`` as a stage of a pipeline whose result is written before the next stage begins: what the stage before
+    this one stored has been read by then, and is deleted."""
+    global _stage, _before
+    discard(spark, *_before)
+    _stage, _before = [], []
+    try:
+        return make()
+    finally:
+        _before, _stage = _stage, None
 
 
 def texts(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
