@@ -72,16 +72,16 @@ def discard(spark: SparkSession, *paths: str) -> None:
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def staged(spark: SparkSession, make: Callable[[], DataFrame]) -> DataFrame:
+def staged(spark: SparkSession, make: Callable[[], DataFrame], last: bool = False) -> DataFrame:
     """``make()`` as a stage of a pipeline whose result is written before the next stage begins: what the stage before
-    this one stored has been read by then, and is deleted."""
+    this one stored has been read by then, and is deleted.  What the ``last`` stage stored stays for its reader."""
     global _stage, _before
     discard(spark, *_before)
     _stage, _before = [], []
     try:
         return make()
     finally:
-        _before, _stage = _stage, None
+        _before, _stage = [] if last else _stage, None
 
 
 def texts(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
