@@ -76,7 +76,7 @@ def test_filter_keeps_columns(spark):
     empty = table(spark, SF, "documents").limit(0)
     assert toxicity.keep_clean(empty, model).count() == 0
     assert toxicity.score_rows(empty, model).count() == 0
-    assert toxicity.sample(empty, table(spark, SF, "labels"), ~held_out(5), 10) == []
+    assert list(toxicity.sample(empty, table(spark, SF, "labels"), ~held_out(5), 10)) == []
 
 
 def brute_score(text, model):
@@ -109,5 +109,5 @@ def test_long_words_and_repeated_ids(spark):
     assert " awful" in model.entries and sum(map(len, model.entries)) < 200_000
     df = spark.createDataFrame([(1, "b"), (1, "a"), (None, "c"), (2, None)], "doc_id long, text string")
     labels = spark.createDataFrame([(1, 1), (2, 0), (None, 1), (3, 1)], "doc_id long, toxic int")
-    got = [toxicity.sample(df.orderBy(F.rand(k)), labels, F.lit(True), 10) for k in range(3)]
+    got = [list(toxicity.sample(df.orderBy(F.rand(k)), labels, F.lit(True), 10)) for k in range(3)]
     assert got[0] == got[1] == got[2] and len(got[0]) == 2

@@ -22,7 +22,7 @@ import re
 import unicodedata
 from bisect import bisect_right
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from os.path import commonprefix
 
@@ -130,7 +130,7 @@ class _Patterns:
         return [*found, said + " "] if said + " " in self.whole else found
 
 
-def fit(rows: list[tuple[str, int]], min_exceptions: int = 5) -> Lexicon:
+def fit(rows: Iterable[tuple[str, int]], min_exceptions: int = 5) -> Lexicon:
     """Lexicon from (text, label) pairs; every significant entry is kept."""
     folded = [(fold(text), int(label)) for text, label in rows if label is not None]
     n, toxic_rows = len(folded), sum(label for _, label in folded)
@@ -149,18 +149,10 @@ def fit(rows: list[tuple[str, int]], min_exceptions: int = 5) -> Lexicon:
         for w, k in counts[label].items():
             for key in patterns.of(w):
                 starts[label][key] += k
+    del counts  # with the words of all rows, it is the largest part
     log_tests = math.log(100 * len(starts[1]))
     good = {k for k in starts[1] if _significant(starts[1][k], starts[0][k], base, log_tests)}
-    # copies of a text are no further evidence: count different neighbourhoods instead of rows
-    contexts: dict[int, dict[str, set]] = {0: {k: set() for k in good}, 1: {k: set() for k in good}}
-    known: dict[str, list[str]] = {}
-    for text, label in folded:
-        words = text.split()
-        for before, w, after in zip(["", *words], words, [*words[1:], ""]):
-            if (hit := known.get(w)) is None:
-                hit = known[w] = [k for k in patterns.of(w) if k in good]
-            for k in hit:
-                contexts[label][k].add((before, after))
+    contexts = _neighbourhoods(folded, good)
     toxic, clean = ({k: len(c) for k, c in contexts[label].items()} for label in (1, 0))
     good = {k for k in good if _significant(toxic[k], clean[k], base, log_tests)}
     entries: dict[str, float] = {}
@@ -179,6 +171,28 @@ def fit(rows: list[tuple[str, int]], min_exceptions: int = 5) -> Lexicon:
     return model
 
 
+def _neighbourhoods(folded: list[tuple[str, int]], patterns: set[str]) -> dict[int, dict[str, set[int]]]:
+    """Per label and pattern: hashes of the words before and after it.  Copies of a text are no further evidence, so
+    different neighbourhoods count instead of rows."""
+    import ahocorasick
+
+    seen: dict[int, dict[str, set]] = {0: {k: set() for k in patterns}, 1: {k: set() for k in patterns}}
+    found = ahocorasick.Automaton()
+    for k in patterns:
+        found.add_word(k, k)
+    if not len(found):
+        return seen
+    found.make_automaton()
+    for text, label in folded:
+        for end, k in found.iter(text):
+            start = end - len(k) + 1
+            stop = text.index(" ", start + 1)
+            before = text[text.rfind(" ", 0, start) + 1 : start]
+            after = text[stop + 1 : max(text.find(" ", stop + 1), stop + 1)]
+            seen[label][k].add(hash((before, after)))
+    return seen
+
+
 def _exceptions(folded: list[tuple[str, int]], model: Lexicon, least: int) -> list[str]:
     """Phrases of an entry's word and a neighbour that occur in clean rows and never in toxic ones."""
     automaton = model.automaton()
@@ -214,7 +228,7 @@ def _calibrate(folded: list[tuple[str, int]], model: Lexicon) -> tuple[float, fl
     return max(float(a), 0.0), max(float(b), 0.0), float(bias)  # more hits never lower a score
 
 
-def sample(df: DataFrame, labels: DataFrame, learn: Column, max_rows: int, label_col: str = "toxic", max_bytes: int = 128 << 20) -> list[tuple[str, int]]:
+def sample(df: DataFrame, labels: DataFrame, learn: Column, max_rows: int, label_col: str = "toxic", max_bytes: int = 128 << 20) -> Iterator[tuple[str, int]]:
     """At most ``max_rows`` labelled rows, those with the smallest id hashes, as (text, label).
 
     Rows are taken in the order of their id hashes until their texts hold ``max_bytes``;
@@ -225,13 +239,12 @@ def sample(df: DataFrame, labels: DataFrame, learn: Column, max_rows: int, label
     rows = known.where(learn).select("doc_id", "label", F.xxhash64("doc_id").alias("place")).orderBy("place", "doc_id").limit(max_rows)
     found = df.select("doc_id", "text").join(F.broadcast(rows), "doc_id")  # max_rows ids
     one = found.groupBy("place", "doc_id", "label").agg(F.min_by("text", F.coalesce(F.xxhash64("text"), F.lit(0))).alias("text"))
-    got, size = [], 0
+    size = 0
     for r in one.orderBy("place", "doc_id").toLocalIterator():
         size += len((r.text or "").encode())
-        if got and size > max_bytes:
+        if size > max_bytes and size > len((r.text or "").encode()):
             break
-        got.append((r.text, r.label))
-    return got
+        yield r.text, r.label
 
 
 def score_rows(df: DataFrame, model: Lexicon, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
