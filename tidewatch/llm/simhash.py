@@ -26,7 +26,7 @@ from itertools import accumulate
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import stored, texts
@@ -163,6 +163,11 @@ def links(nodes: DataFrame, radius: int = 4, block: int = 2048) -> DataFrame:
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
+def rank(node: str, turn: int = 0) -> Column:
+    """Struct (h, v) of a node's place in the order by hash of a round, and the node."""
+    return F.struct(F.xxhash64(F.lit(turn), F.col(node)).alias("h"), F.col(node).alias("v"))
+
+
 def components(pairs: DataFrame) -> DataFrame:
     """Columns node and root for every node of ``pairs`` (a, b): root is the same in a component.
 
@@ -176,9 +181,8 @@ def components(pairs: DataFrame) -> DataFrame:
     rounds: list[DataFrame] = []
     edges = stored(pairs.select("a", "b"), "edges")
     while not edges.isEmpty():
-        rank = lambda c: F.struct(F.xxhash64(F.lit(len(rounds)), F.col(c)).alias("h"), F.col(c).alias("v"))
         both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionAll(edges.select("b", "a"))
-        first = both.groupBy("u").agg(F.min(rank("v")).alias("n")).select("u", F.least(F.col("n"), rank("u"))["v"].alias("p"))
+        first = both.groupBy("u").agg(F.min(rank("v", len(rounds))).alias("n")).select("u", F.least(F.col("n"), rank("u", len(rounds)))["v"].alias("p"))
         first = stored(first, "up")
         up = stored(first.join(first.select(F.col("u").alias("p"), F.col("p").alias("q")), "p").select("u", F.col("q").alias("p")), "up")
         rounds.append(up)
