@@ -81,6 +81,15 @@ def test_components_of_a_chain_take_few_rounds(spark, monkeypatch):
     assert made.count("edges") <= 9
 
 
+def test_components_of_a_star_take_one_round(spark, monkeypatch):
+    made = []
+    real = simhash.stored
+    monkeypatch.setattr(simhash, "stored", lambda df, name, **o: made.append(name) or real(df, name, **o))
+    pairs = spark.createDataFrame([(500, i) for i in range(1000) if i != 500], "a long, b long")
+    got = {r.node: r.root for r in simhash.components(pairs).collect()}
+    assert len(got) == 1000 and len(set(got.values())) == 1 and made == ["edges", "up", "edges"]
+
+
 def test_one_hot_bucket(spark):
     rng = random.Random(6)
     base = rng.getrandbits(64)

@@ -171,20 +171,19 @@ def rank(node: str, turn: int = 0) -> Column:
 def components(pairs: DataFrame) -> DataFrame:
     """Columns node and root for every node of ``pairs`` (a, b): root is the same in a component.
 
-    Each round every node points to the first of itself and its neighbours in an order
-    by hash that changes with the round, then to where that one points, and the graph is
-    contracted along these pointers.  A node with neighbours comes first among them with
-    a chance of one half at most, so rounds grow with the logarithm of the nodes,
-    whatever the graph (a chain in the order of its ids as well); the rounds' maps are
-    joined at the end.
+    Each round every node points to the first of the nodes at most two links away, in an
+    order by hash that changes with the round, and the graph is contracted along these
+    pointers: a star in one round, a chain to about a third.  The rounds' maps are joined
+    at the end.
     """
     rounds: list[DataFrame] = []
     edges = stored(pairs.select("a", "b"), "edges")
     while not edges.isEmpty():
         both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionAll(edges.select("b", "a"))
-        first = both.groupBy("u").agg(F.min(rank("v", len(rounds))).alias("n")).select("u", F.least(F.col("n"), rank("u", len(rounds)))["v"].alias("p"))
-        first = stored(first, "up")
-        up = stored(first.join(first.select(F.col("u").alias("p"), F.col("p").alias("q")), "p").select("u", F.col("q").alias("p")), "up")
+        own = rank("u", len(rounds))
+        near = both.groupBy("u").agg(F.min(rank("v", len(rounds))).alias("n")).select(F.col("u").alias("v"), F.least("n", own).alias("n"))
+        far = both.join(near, "v").groupBy("u").agg(F.min("n").alias("n"))
+        up = stored(far.select("u", F.least("n", own)["v"].alias("p")), "up")
         rounds.append(up)
         ends = edges.join(up.select(F.col("u").alias("a"), F.col("p").alias("pa")), "a").join(up.select(F.col("u").alias("b"), F.col("p").alias("pb")), "b")
         edges = stored(ends.where("pa != pb").select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct(), "edges")
