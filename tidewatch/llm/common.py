@@ -46,6 +46,9 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+_ARROW = "spark.sql.execution.arrow.maxRecordsPerBatch"
+_ARROW_ROWS = 500  # texts in an Arrow batch of a pipeline's stage; both sides of the pipe hold whole batches
+
 _stage: list[str] | None = None  # paths stored since the stage that runs began
 _before: list[str] = []  # and by the stage before it
 
@@ -74,9 +77,12 @@ def discard(spark: SparkSession, *paths: str) -> None:
 
 def staged(spark: SparkSession, make: Callable[[], DataFrame], last: bool = False) -> DataFrame:
     """``make()`` as a stage of a pipeline whose result is written before the next stage begins: what the stage before
-    this one stored has been read by then, and is deleted.  What the ``last`` stage stored stays for its reader."""
+    this one stored has been read by then, and is deleted.  What the ``last`` stage stored stays for its reader.
+    The session's Arrow batches get ``_ARROW_ROWS`` rows at most, and keep that, as results are computed by their readers."""
     global _stage, _before
     discard(spark, *_before)
+    if not 0 < int(spark.conf.get(_ARROW)) <= _ARROW_ROWS:
+        spark.conf.set(_ARROW, _ARROW_ROWS)
     _stage, _before = [], []
     try:
         return make()
