@@ -77,6 +77,7 @@ def test_filter_keeps_columns(spark):
     assert toxicity.keep_clean(empty, model).count() == 0
     assert toxicity.score_rows(empty, model).count() == 0
     assert list(toxicity.sample(empty, table(spark, SF, "labels"), ~held_out(5), 10)) == []
+    assert toxicity.fit_sample(empty, table(spark, SF, "labels"), ~held_out(5), 10) == toxicity.fit([])
 
 
 def brute_score(text, model):
@@ -111,3 +112,10 @@ def test_long_words_and_repeated_ids(spark):
     labels = spark.createDataFrame([(1, 1), (2, 0), (None, 1), (3, 1)], "doc_id long, toxic int")
     got = [list(toxicity.sample(df.orderBy(F.rand(k)), labels, F.lit(True), 10)) for k in range(3)]
     assert got[0] == got[1] == got[2] and len(got[0]) == 2
+
+
+def test_fit_in_a_task_equals_fit_of_the_sample(spark):
+    docs, labels = table(spark, SF, "documents"), table(spark, SF, "labels")
+    for rows, size in ((20_000, 128 << 20), (400, 128 << 20), (20_000, 200_000)):
+        want = toxicity.fit(toxicity.sample(docs, labels, ~held_out(5), rows, max_bytes=size))
+        assert toxicity.fit_sample(docs, labels, ~held_out(5), rows, max_bytes=size) == want

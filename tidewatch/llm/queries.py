@@ -33,7 +33,7 @@ TOXICITY_ROWS = 20_000
 def op4_toxicity_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity scores of all ``documents``, learnt from labelled rows that are not held out."""
     docs = table(spark, sf_dir, "documents")
-    model = toxicity.fit(toxicity.sample(docs, table(spark, sf_dir, "labels"), ~held_out(5), TOXICITY_ROWS))
+    model = toxicity.fit_sample(docs, table(spark, sf_dir, "labels"), ~held_out(5), TOXICITY_ROWS)
     got = toxicity.score_rows(docs, model)
     return got.select("doc_id", held_out(5).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 

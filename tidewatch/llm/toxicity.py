@@ -18,6 +18,7 @@ with a null label is never learnt from; without any toxic label the score is 0.
 from __future__ import annotations
 
 import math
+import pickle
 import re
 import unicodedata
 from bisect import bisect_right
@@ -228,6 +229,22 @@ def _calibrate(folded: list[tuple[str, int]], model: Lexicon) -> tuple[float, fl
     return max(float(a), 0.0), max(float(b), 0.0), float(bias)  # more hits never lower a score
 
 
+def _sampled(df: DataFrame, labels: DataFrame, learn: Column, max_rows: int, label_col: str) -> DataFrame:
+    known = labels.where(F.col(label_col).isNotNull()).groupBy("doc_id").agg(F.max(label_col).alias("label"))
+    rows = known.where(learn).select("doc_id", "label", F.xxhash64("doc_id").alias("place")).orderBy("place", "doc_id").limit(max_rows)
+    found = df.select("doc_id", "text").join(F.broadcast(rows), "doc_id")  # max_rows ids
+    return found.groupBy("place", "doc_id", "label").agg(F.min_by("text", F.coalesce(F.xxhash64("text"), F.lit(0))).alias("text"))
+
+
+def _bounded(rows: Iterable[tuple[str, int]], max_bytes: int) -> Iterator[tuple[str, int]]:
+    size = 0
+    for text, label in rows:
+        size += len((text or "").encode())
+        if size > max_bytes and size > len((text or "").encode()):
+            break
+        yield text, label
+
+
 def sample(df: DataFrame, labels: DataFrame, learn: Column, max_rows: int, label_col: str = "toxic", max_bytes: int = 128 << 20) -> Iterator[tuple[str, int]]:
     """At most ``max_rows`` labelled rows, those with the smallest id hashes, as (text, label).
 
@@ -235,16 +252,20 @@ def sample(df: DataFrame, labels: DataFrame, learn: Column, max_rows: int, label
     of rows with one id the one with the smallest text digest counts.  Only the ids
     travel: they are broadcast, and the texts are picked where they lie.
     """
-    known = labels.where(F.col(label_col).isNotNull()).groupBy("doc_id").agg(F.max(label_col).alias("label"))
-    rows = known.where(learn).select("doc_id", "label", F.xxhash64("doc_id").alias("place")).orderBy("place", "doc_id").limit(max_rows)
-    found = df.select("doc_id", "text").join(F.broadcast(rows), "doc_id")  # max_rows ids
-    one = found.groupBy("place", "doc_id", "label").agg(F.min_by("text", F.coalesce(F.xxhash64("text"), F.lit(0))).alias("text"))
-    size = 0
-    for r in one.orderBy("place", "doc_id").toLocalIterator():
-        size += len((r.text or "").encode())
-        if size > max_bytes and size > len((r.text or "").encode()):
-            break
-        yield r.text, r.label
+    rows = _sampled(df, labels, learn, max_rows, label_col).orderBy("place", "doc_id")
+    yield from _bounded(((r.text, r.label) for r in rows.toLocalIterator()), max_bytes)
+
+
+def fit_sample(df: DataFrame, labels: DataFrame, learn: Column, max_rows: int, label_col: str = "toxic", max_bytes: int = 128 << 20) -> Lexicon:
+    """``fit`` of the rows of ``sample`` in one task, which their bounds make small; the driver gets the lexicon alone."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pairs = (pair for b in texts(batches) for pair in zip(b.column(0).to_pylist(), b.column(1).to_pylist()))
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(_bounded(pairs, max_bytes)))])], ["model"])
+
+    rows = _sampled(df, labels, learn, max_rows, label_col).repartition(1).sortWithinPartitions("place", "doc_id")
+    made = rows.select("text", "label").mapInArrow(run, "model binary").first()
+    return pickle.loads(made.model) if made else Lexicon()
 
 
 def score_rows(df: DataFrame, model: Lexicon, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
