@@ -2,11 +2,13 @@
 
 import json
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tidewatch.operators import audit, calibration, scoring, synthesis
+from tidewatch.plans import extended
 from tidewatch.sources import jsonl, sinks
 from tidewatch.streaming import count_windows
 
@@ -70,6 +72,15 @@ def test_guards_of_synthesis_and_calibration(spark):
     assert len(drawn) == 8 and all(r["count"] == 20 for r in drawn)
 
 
+def test_perturbed_long_texts_equal_sql(spark, tmp_path):
+    docs = spark.range(60).select(F.col("id").alias("doc_id"), F.repeat(F.lit("sea 0ttoe"), 12_000).alias("text"))  # 108,000 characters
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    want = dict(con.execute(extended.SQL["text_perturb"]).fetchall())
+    assert dict(tuple(r) for r in extended.QUERIES["text_perturb"](spark, str(tmp_path)).collect()) == want and len(set(want.values())) > 10
+
+
 def test_scoring_resumes_and_falls_back(spark, tmp_path):
     rows = spark.createDataFrame([(str(i), f"text {i}", "en", None, "src", None) for i in range(40)], "id string, text string, language string, label string, source string, modality string")
 

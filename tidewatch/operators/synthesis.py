@@ -175,7 +175,7 @@ def perturb(text: Column, severity: Column, name: str, key: Column, seed: int =
     def leet(t: Column) -> Column:
         start = below(u("leet at"), 65536)
         table = F.create_map(*[F.lit(x) for kv in LEET.items() for x in kv])
-        chosen = lambda i: F.pmod(start + (i + 1) * 40503, F.lit(65536)) < 0.3 * 65536
+        chosen = lambda i: F.pmod(start + (i.cast("long") + 1) * 40503, F.lit(65536)) < 0.3 * 65536
         return F.array_join(F.transform(F.split(t, ""), lambda c, i: F.when(chosen(i), F.coalesce(F.try_element_at(table, F.lower(c)), c)).otherwise(c)), "")
 
     t = edit(text, 0.4, "symbol", lambda x: put(x, below(u("symbol at"), size(x)), one(SYMBOLS, "symbol which")))
