@@ -117,3 +117,18 @@ def test_one_hot_bucket(spark):
         for r in simhash.components(simhash.links(nodes, 4, block)).collect():
             got.setdefault(r.root, set()).add(r.node % (1 << 64))
         assert sorted(map(sorted, got.values())) == sorted(sorted(v) for v in want.values() if len(v) > 1)
+
+
+def test_no_join_broadcasts_a_table_that_grows(spark, monkeypatch):
+    plans = []
+
+    def kept(df, *args, real=simhash.stored, **options):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return real(df, *args, **options)
+
+    monkeypatch.setattr(simhash, "stored", kept)
+    texts = [(i, " ".join(f"w{(i // 4 * 31 + k) % 97}" for k in range(60)) + f" {i % 2}") for i in range(40)]
+    out = simhash.near_duplicates(spark.createDataFrame(texts, "doc_id long, text string"))
+    plans.append(out._jdf.queryExecution().executedPlan().toString())
+    assert out.count() == 40 and sum("Join" in p for p in plans) >= 3
+    assert not any("Broadcast" in p for p in plans)

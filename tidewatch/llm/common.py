@@ -90,6 +90,12 @@ def staged(spark: SparkSession, make: Callable[[], DataFrame], last: bool = Fals
         _before, _stage = [] if last else _stage, None
 
 
+def grows(df: DataFrame) -> DataFrame:
+    """``df``, marked so that a join shuffles it: a table that grows with the input would fill the driver as a broadcast,
+    which holds many times its stored size there, long before that size reaches Spark's limit for broadcasts."""
+    return df.hint("merge")
+
+
 def texts(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
     """Batches cut so that only a few texts are Python strings at a time."""
     for batch in batches:

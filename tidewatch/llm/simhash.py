@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored, texts
+from .common import grows, stored, texts
 
 BITS = 64
 SEED = 42
@@ -111,7 +111,7 @@ def links(nodes: DataFrame, radius: int = 4, block: int = 2048) -> DataFrame:
     based = counts.select("t", "key", "salt", F.sum("n").over(bucket).alias("cnt"), (F.sum("n").over(bucket.orderBy("salt")) - F.col("n")).alias("base")).where("cnt > 1")
     chunk, chunks = F.expr(f"int((rn - 1) div {block})"), F.expr(f"int((cnt - 1) div {block})")
     dealt = (
-        keys.join(based, ["t", "key", "salt"])
+        keys.join(grows(based), ["t", "key", "salt"])
         .withColumn("rn", F.col("base") + F.row_number().over(Window.partitionBy("t", "key", "salt").orderBy("fp")))
         .select("t", "key", "fp", chunk.alias("c"), F.explode(F.sequence(F.lit(0), chunks)).alias("d"))
         .select("t", "key", "fp", "c", F.least("c", "d").alias("i"), F.greatest("c", "d").alias("j"))
@@ -182,16 +182,16 @@ def components(pairs: DataFrame) -> DataFrame:
         both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionAll(edges.select("b", "a"))
         own = rank("u", len(rounds))
         near = both.groupBy("u").agg(F.min(rank("v", len(rounds))).alias("n")).select(F.col("u").alias("v"), F.least("n", own).alias("n"))
-        far = both.join(near, "v").groupBy("u").agg(F.min("n").alias("n"))
+        far = both.join(grows(near), "v").groupBy("u").agg(F.min("n").alias("n"))
         up = stored(far.select("u", F.least("n", own)["v"].alias("p")), "up")
         rounds.append(up)
-        ends = edges.join(up.select(F.col("u").alias("a"), F.col("p").alias("pa")), "a").join(up.select(F.col("u").alias("b"), F.col("p").alias("pb")), "b")
+        ends = edges.join(grows(up.select(F.col("u").alias("a"), F.col("p").alias("pa"))), "a").join(grows(up.select(F.col("u").alias("b"), F.col("p").alias("pb"))), "b")
         edges = stored(ends.where("pa != pb").select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct(), "edges")
     if not rounds:
         return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
     out = rounds[0].select(F.col("u").alias("node"), F.col("p").alias("root"))
     for up in rounds[1:]:
-        out = out.join(up, out.root == up.u, "left").select("node", F.coalesce("p", "root").alias("root"))
+        out = out.join(grows(up), out.root == up.u, "left").select("node", F.coalesce("p", "root").alias("root"))
     return out
 
 
@@ -200,10 +200,10 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     docs = stored(fingerprints(df, id_col, text_col, shingle), "fingerprints")
     nodes = stored(docs.groupBy("fp").agg(F.min("doc_id").alias("low")), "nodes")
     found = components(links(nodes, radius, block))
-    rooted = nodes.join(found, nodes.fp == found.node, "left").select("fp", "low", "root")
+    rooted = nodes.join(grows(found), nodes.fp == found.node, "left").select("fp", "low", "root")
     named = rooted.where("root is not null").groupBy("root").agg(F.min("low").alias("named"))
-    named = stored(rooted.join(named, "root", "left").select("fp", F.coalesce("named", "low").alias("component_id")), "named")
-    return docs.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    named = stored(rooted.join(grows(named), "root", "left").select("fp", F.coalesce("named", "low").alias("component_id")), "named")
+    return docs.join(grows(named), "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def keep_one(df: DataFrame, text_col: str = "text", radius: int = 4, shingle: int = 4, block: int = 2048) -> DataFrame:
@@ -214,4 +214,4 @@ def keep_one(df: DataFrame, text_col: str = "text", radius: int = 4, shingle: in
     rows = stored(df.withColumn("_row_of_dedup", F.monotonically_increasing_id()), "numbered")
     found = near_duplicates(rows, "_row_of_dedup", text_col, radius, shingle, block)
     kept = found.where("doc_id = component_id").select(F.col("doc_id").alias("_row_of_dedup"))
-    return rows.join(kept, "_row_of_dedup", "left_semi").select(*df.columns)
+    return rows.join(grows(kept), "_row_of_dedup", "left_semi").select(*df.columns)
