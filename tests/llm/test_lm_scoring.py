@@ -128,3 +128,16 @@ def test_gradients_equal_differences():
                 loss.append(attention.gradients(p, v, x, y, count)[0])
             a[i] = was
             assert (loss[0] - loss[1]) / 2e-5 / count.sum() == pytest.approx(grad[i], abs=1e-8)
+
+
+def test_places_without_counted_targets_are_keys_alone():
+    rng, v, p = tiny()
+    docs = [rng.integers(0, 40, n) for n in (3, 8, 9, 31, 50, 200)]
+    mixed = 0
+    for x, y, count, _ in attention.batches(docs, v, 8, 4, 4):
+        lo = attention._first(count)
+        mixed += len(set(count.argmax(axis=1))) > 1
+        whole, part = attention._body(p, x)[0], attention._body(p, x, lo)[0]
+        assert part.shape[1] == x.shape[1] - lo and np.allclose(part, whole[:, lo:])
+        assert not count[:, :lo].any()
+    assert mixed <= 1  # windows of one first target come together

@@ -22,7 +22,7 @@ DENSE = ("P", "Q", "K", "V", "W", "A", "a", "B", "C", "c")
 class Vocabulary:
     """Classes of ids from their counts in training (index: id)."""
 
-    def __init__(self, counts: np.ndarray, heads: int = 64, tails: int = 64):
+    def __init__(self, counts: np.ndarray, heads: int = 32, tails: int = 32):
         order = np.argsort(-counts, kind="stable")
         seen = order[: int((counts > 0).sum())]
         self.seen, self.size = seen.size, counts.size
@@ -63,29 +63,43 @@ def windows(n: int, width: int, stride: int) -> tuple[np.ndarray, np.ndarray]:
     return starts, np.where(starts > 0, width - stride, 0)
 
 
-def _body(p: dict, x: np.ndarray) -> tuple:
-    """Hidden vectors of the index windows ``x`` (B, L), and what the way back needs."""
+def _first(count: np.ndarray) -> int:
+    """First place that has a counted target in any window; places before it are keys and values only."""
+    return int(count.any(axis=0).argmax())
+
+
+def _body(p: dict, x: np.ndarray, lo: int = 0) -> tuple:
+    """Hidden vectors of the index windows ``x`` (B, L) from place ``lo`` on, and what the way back needs."""
     e = p["E"][x] + p["P"][: x.shape[1]]
     n, length, d = e.shape
-    q, k, v = np.split((e.reshape(-1, d) @ np.concatenate([p["Q"] * np.float32(d**-0.5), p["K"], p["V"]], axis=1)).reshape(n, length, 3 * d), 3, axis=2)
+    k, v = np.split((e.reshape(-1, d) @ np.concatenate([p["K"], p["V"]], axis=1)).reshape(n, length, 2 * d), 2, axis=2)
+    own = e[:, lo:].reshape(-1, d)
+    q = (own @ (p["Q"] * np.float32(d**-0.5))).reshape(n, length - lo, d)
     s = q @ k.transpose(0, 2, 1)
     np.minimum(s, 60, out=s)  # keeps exp finite
     np.exp(s, out=s)
-    s *= np.tril(np.ones((length, length), np.float32))
+    s[:, :, lo:] *= np.tril(np.ones((length - lo, length - lo), np.float32))
     total = s.sum(axis=2, keepdims=True)
-    m = s @ v / total
-    h = e.reshape(-1, d) + m.reshape(-1, d) @ p["W"]
+    m = s @ v
+    m /= total
+    h = m.reshape(-1, d) @ p["W"]
+    h += own
     r = h @ p["A"]
     r += p["a"]
     np.maximum(r, 0, out=r)
-    g = h + r @ p["B"]
-    return g.reshape(n, length, d), (e, q, k, v, s, total, m, h, r)
+    g = r @ p["B"]
+    g += h
+    return g.reshape(n, length - lo, d), (e, own, q, k, v, s, total, m, h, r)
 
 
-def _log_softmax(z: np.ndarray) -> np.ndarray:
+def _softmax(z: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Softmax of each row, in place of ``z``; the log of one column per row."""
     z -= z.max(axis=1, keepdims=True)
-    z -= np.log(np.exp(z).sum(axis=1, keepdims=True))
-    return z
+    got = z[np.arange(len(z)), at]
+    np.exp(z, out=z)
+    total = z.sum(axis=1, keepdims=True)
+    z /= total
+    return got - np.log(total[:, 0])
 
 
 def _picked(z: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -96,21 +110,29 @@ def _picked(z: np.ndarray, at: np.ndarray) -> np.ndarray:
     return got - np.log(z.sum(axis=1))
 
 
+def _order(at: np.ndarray) -> np.ndarray:
+    """Stable order; of small numbers by a radix sort."""
+    return np.argsort(at.astype(np.uint16) if at.size and at.max() < 1 << 16 else at, kind="stable")
+
+
 def _by_class(cls: np.ndarray, lo: int, hi: int):
     """(class, rows) for rows whose class is in lo..hi."""
-    order = np.argsort(cls, kind="stable")
-    order = order[(cls[order] >= lo) & (cls[order] < hi)]
-    cuts = np.flatnonzero(np.diff(cls[order])) + 1
-    for rows in np.split(order, cuts):
-        if rows.size:
-            yield cls[rows[0]], rows
+    order = _order(cls)
+    sorted_cls = cls[order]
+    a, b = np.searchsorted(sorted_cls, [lo, hi])
+    order, sorted_cls = order[a:b], sorted_cls[a:b]
+    cuts = [0, *(np.flatnonzero(np.diff(sorted_cls)) + 1).tolist(), order.size]
+    for a, b in zip(cuts, cuts[1:]):
+        if a < b:
+            yield int(sorted_cls[a]), order[a:b]
 
 
 def log_probs(p: dict, v: Vocabulary, x: np.ndarray, y: np.ndarray, count: np.ndarray) -> np.ndarray:
     """Natural log probabilities of the targets y (B, L) marked in ``count``, in row order."""
     g = []
     for at in range(0, len(x), 32):
-        g.append(_body(p, x[at : at + 32])[0][count[at : at + 32]])
+        lo = _first(count[at : at + 32])
+        g.append(_body(p, x[at : at + 32], lo)[0][count[at : at + 32, lo:]])
     g, y = np.concatenate(g), y[count]
     cls = v.class_of[y]
     out = np.empty(y.size, np.float64)
@@ -127,52 +149,63 @@ def log_probs(p: dict, v: Vocabulary, x: np.ndarray, y: np.ndarray, count: np.nd
 
 
 def _sum_rows(at: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    order = np.argsort(at, kind="stable")
-    rows, first = np.unique(at[order], return_index=True)
-    return rows, np.add.reduceat(values[order], first, axis=0)
+    order = _order(at)
+    at = at[order]
+    first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
+    return at[first], np.add.reduceat(values[order], first, axis=0)
 
 
 def gradients(p: dict, v: Vocabulary, x: np.ndarray, y: np.ndarray, count: np.ndarray) -> tuple[float, dict, dict]:
     """Summed loss, gradients of the dense parameters, and (rows, gradients) of E, O and o; both are means."""
-    top, (e, q, k, val, s, total, m, h, r) = _body(p, x)
+    lo = _first(count)
+    top, (e, own, q, k, val, s, total, m, h, r) = _body(p, x, lo)
     s /= total
-    shape = top.shape
-    g, t = top[count], y[count]
-    n, d = g.shape
+    shape, picked = top.shape, np.flatnonzero(count[:, lo:])
+    d = shape[2]
+    g, t = top.reshape(-1, d)[picked], y[:, lo:].ravel()[picked]
+    n = t.size
     cls = v.class_of[t]
-    z = _log_softmax(g @ p["C"] + p["c"])
-    loss = -float(z[np.arange(n), cls].sum())
-    dz = np.exp(z)
+    dz = g @ p["C"]
+    dz += p["c"]
+    loss = -float(_softmax(dz, cls).sum())
     dz[np.arange(n), cls] -= 1
-    dz /= n
+    dz *= np.float32(1 / n)
     dense = {"C": g.T @ dz, "c": dz.sum(axis=0)}
     dg = dz @ p["C"].T
     rows_o, grad_o, grad_b = [], [], []
     for c, rows in _by_class(cls, v.heads, v.classes - 1):
         a, b = v.first[c], v.first[c + 1]
-        z = _log_softmax(g[rows] @ p["O"][a:b].T + p["o"][a:b])
-        loss -= float(z[np.arange(rows.size), t[rows] - a].sum())
-        u = np.exp(z)
-        u[np.arange(rows.size), t[rows] - a] -= 1
-        u /= n
-        dg[rows] += u @ p["O"][a:b]
+        mine, at, o = g[rows], t[rows] - a, p["O"][a:b]
+        u = mine @ o.T
+        u += p["o"][a:b]
+        loss -= float(_softmax(u, at).sum())
+        u[np.arange(rows.size), at] -= 1
+        u *= np.float32(1 / n)
+        dg[rows] += u @ o
         rows_o.append(np.arange(a, b))
-        grad_o.append(u.T @ g[rows])
+        grad_o.append(u.T @ mine)
         grad_b.append(u.sum(axis=0))
-    dtop = np.zeros_like(top)
-    dtop[count] = dg
+    dtop = np.zeros((top.size // d, d), top.dtype)
+    dtop[picked] = dg
     flat = lambda t: t.reshape(-1, t.shape[-1])
-    dtop = flat(dtop)
-    dr = dtop @ p["B"].T * (r > 0)
-    dh = dtop + dr @ p["A"].T
+    dr = dtop @ p["B"].T
+    dr *= r > 0
+    dh = dr @ p["A"].T
+    dh += dtop
     dense |= {"B": r.T @ dtop, "A": h.T @ dr, "a": dr.sum(axis=0), "W": flat(m).T @ dh}
     dm = (dh @ p["W"].T).reshape(shape)
     root = np.float32(d**-0.5)
     ds = dm @ val.transpose(0, 2, 1)
-    ds = s * (ds - (ds * s).sum(axis=2, keepdims=True))
-    dq, dk, dv = flat(ds @ k) * root, flat(ds.transpose(0, 2, 1) @ q), flat(s.transpose(0, 2, 1) @ dm)  # q is scaled already
-    de = (dh + dq @ p["Q"].T + dk @ p["K"].T + dv @ p["V"].T).reshape(shape)
-    dense |= {"Q": flat(e).T @ dq, "K": flat(e).T @ dk, "V": flat(e).T @ dv}
+    ds -= (dm * m).sum(axis=2, keepdims=True)  # the sum of ds * s
+    ds *= s
+    dq = flat(ds @ k)
+    dq *= root
+    dkv = flat(np.concatenate([ds.transpose(0, 2, 1) @ q, s.transpose(0, 2, 1) @ dm], axis=2))  # q is scaled already
+    de = (dkv @ np.concatenate([p["K"], p["V"]], axis=1).T).reshape(e.shape)
+    dh += dq @ p["Q"].T
+    de[:, lo:] += dh.reshape(shape)
+    both = flat(e).T @ dkv
+    dense |= {"Q": own.T @ dq, "K": both[:, :d], "V": both[:, d:]}
     dense["P"] = np.zeros_like(p["P"])
     dense["P"][: x.shape[1]] = de.sum(axis=0)
     sparse = {"E": _sum_rows(x.ravel(), flat(de))}
@@ -197,14 +230,16 @@ class Trainer:
             self.seen[k] += g * g
             self.p[k] -= self.dense_rate * g / np.sqrt(self.seen[k])
         for k, (rows, g) in sparse.items():
-            self.seen[k][rows] += g * g
-            self.p[k][rows] -= self.rate * g / np.sqrt(self.seen[k][rows])
+            seen = self.seen[k][rows]
+            seen += g * g
+            self.seen[k][rows] = seen
+            self.p[k][rows] -= self.rate * g / np.sqrt(seen)
         self.tokens += int(count.sum())
         self.loss += loss
 
 
 def batches(docs: list[np.ndarray], v: Vocabulary, width: int, stride: int, group: int, pick=None):
-    """(x, y, count, doc of each counted target) of windows of about one length, ``group`` at a time.
+    """(x, y, count, doc of each counted target) of windows of about one length and one first target, ``group`` at a time.
 
     ``docs`` are id sequences with their end id; ``pick(doc, starts)`` may choose windows.
     """
@@ -225,7 +260,7 @@ def batches(docs: list[np.ndarray], v: Vocabulary, width: int, stride: int, grou
         skip.append(first)
         length.append(np.minimum(width, n - starts))
     doc, begin, skip, length = map(np.concatenate, (doc, begin, skip, length))
-    order = np.argsort(length, kind="stable")
+    order = np.lexsort((length, skip))
     for at in range(0, order.size, group):
         part = order[at : at + group]
         span = np.arange(int(length[part].max()))

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import attention, tokens
-from .common import stored, texts
+from .common import grows, stored, texts
 
 ROWS = "chunk long, kind int, pos int, word binary, n long, doc_id long, held_out boolean, n_tokens long, at binary, tf binary, ids binary"
 STRIDE_OF = 2  # windows overlap by half their width, so a later id sees at least that much
@@ -210,7 +210,7 @@ def score(
     names = ["chunk", "doc_id", "held_out", "n_tokens", "at", "tf", "score", "n_ids"]
     types = "chunk long, doc_id long, held_out boolean, n_tokens long, at binary, tf binary, score double, n_ids long"
     scored = docs.select("chunk", "doc_id", "held_out", "n_tokens", "at", "ids", "tf").mapInArrow(model, types)
-    known = lists.join(counts, "word").select("chunk", "pos", "c")
+    known = lists.join(grows(counts), "word").select("chunk", "pos", "c")
     both = reduce(
         lambda a, b: a.unionByName(b, allowMissingColumns=True),
         [known.withColumn("kind", F.lit(0)), scored.withColumn("kind", F.lit(1))],
