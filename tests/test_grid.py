@@ -4,6 +4,7 @@ import math
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -124,3 +125,29 @@ def test_published_rule_summary(spark):
     )
     (r,) = grid.rule_summary(table, F.col("stream_name") != "iid_control").collect()
     assert (r.detected_drift_streams, r.iid_control_false_alarm, r.total_false_alarms_before_drift, r.mean_detection_delay_windows) == ("7/7", "Yes", 0, 0.14)
+
+
+def test_distances_from_many_references_take_no_pairs(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    rows = [(s, i, None if s == "gaps" and (i < 30 or 60 <= i < 110) else float(rng.integers(0, 25) / 20 if s == "few" else round(float(rng.random()), 6))) for s, n in (("few", 300), ("gaps", 400), ("short", 25), ("fine", 350)) for i in range(n)]
+    assigned = windows.assign(spark.createDataFrame(rows, "stream string, pos long, uc double"), 20, 10)
+    names = ["stream", "idx", "n1", "n2", "k", "area"]
+    want = {(r.stream, r.idx): r for r in windows._paired(assigned, "multi_reference").select(names).collect()}
+    sql = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    for coalesce in ("true", "false"):  # one range of values, and several
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", coalesce)
+        got = {(r.stream, r.idx): r for r in windows._walked(assigned).select(names).collect()}
+        assert got.keys() == want.keys() and len(got) > 90
+        for key, r in got.items():
+            w = want[key]
+            assert (r.n1 or 0, r.n2) == (w.n1 or 0, w.n2) and (not r.n1 or (r.k == w.k and r.area == pytest.approx(w.area, rel=1e-12))), key
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", sql)
+    small = pd.DataFrame([(0, i, None, None, 0, 7) for i in range(40)] + [(1, i, v / 10, 1 + (v == 3), None, None) for i in range(40) for v in rng.choice(20, 6, False)], columns=["kind", "idx", "v", "n", "below", "n2"])
+    small["stream"] = "s"
+    whole = windows._part_distances(small)
+    monkeypatch.setattr(windows, "_ROWS", 3)
+    monkeypatch.setattr(windows, "_COLUMNS", 4)
+    cut = windows._part_distances(small)
+    assert (whole[["n1", "n2", "k"]] == cut[["n1", "n2", "k"]]).to_numpy().all() and (whole["high"] * 2**20 + whole["low"] == cut["high"] * 2**20 + cut["low"]).all()
+    monkeypatch.setattr(windows, "sample_pairs", None)
+    assert windows.distances(assigned, "multi_reference").count() == len(want)

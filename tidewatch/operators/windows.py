@@ -8,6 +8,10 @@ references that depend on earlier decisions or all earlier values (``grid``).
 
 from __future__ import annotations
 
+from decimal import Decimal
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,6 +21,8 @@ from tidewatch.storage import stored
 
 #: Windows whose histograms one task adds up for ``multi_reference``.
 _RUN = 256
+#: Windows and distinct values in a block of ``_part_distances``.
+_ROWS, _COLUMNS = 256, 1024
 
 
 def positions(df: DataFrame, time: str, *ties: str, by: str = "stream") -> DataFrame:
@@ -131,8 +137,8 @@ def divergences(hist: DataFrame, mode: str = "fixed_first") -> DataFrame:
 def sample_pairs(assigned: DataFrame, mode: str = "fixed_first") -> DataFrame:
     """Rows (stream, idx, v, r, w): each window's values and its reference's.
 
-    A ``multi_reference`` takes the values of all earlier windows: rows grow with the square
-    of a stream's windows, as that mode's definition does; ``grid.fold`` does it in one walk.
+    A ``multi_reference`` takes the values of all earlier windows, so rows grow with the square
+    of a stream's windows; ``distances`` does without them in that mode.
     """
     rows = assigned.where("uc is not null").select("stream", "idx", F.col("uc").alias("v"))
     mine = rows.where("idx > 0").select("*", F.lit(0).alias("r"), F.lit(1).alias("w"))
@@ -150,8 +156,85 @@ def sample_pairs(assigned: DataFrame, mode: str = "fixed_first") -> DataFrame:
     return mine.unionByName(theirs.select("*", F.lit(1).alias("r"), F.lit(0).alias("w")))
 
 
-def distances(assigned: DataFrame, mode: str = "fixed_first") -> DataFrame:
-    """Per window: n1, n2, the KS numerator k = n1 n2 D, ks_stat and the Wasserstein distance, in one pass."""
+def _ranged(assigned: DataFrame) -> DataFrame:
+    """Rows (stream, part, kind, idx, v, n, below, n2), stored: a part is a range of a stream's values.
+
+    Kind 0: one row for each window of the stream with values, the number of its values
+    below the part, and of all (n2).  Kind 1: how often (n) a window has a value (v) of the part.
+    Kind 2: the first value (v) of the next part.
+    """
+    cells = assigned.where("uc is not null").groupBy("stream", "idx", F.col("uc").alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    cells = stored(cells.repartitionByRange("stream", "v").withColumn("part", F.spark_partition_id()), "cells")
+    parts = cells.groupBy("stream", "part").agg(F.min("v").alias("low"))  # a row per range
+    after = parts.select("stream", "part", F.lead("low").over(Window.partitionBy("stream").orderBy("part")).alias("v")).where("v is not null")
+    held = cells.groupBy("stream", "idx", "part").agg(F.sum("n").alias("n"))
+    whole = held.groupBy("stream", "idx").agg(F.sum("n").alias("n2"))
+    before = Window.partitionBy("stream", "idx").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    every = whole.join(F.broadcast(parts.select("stream", "part")), "stream").join(held, ["stream", "idx", "part"], "left")
+    left = every.select("stream", "part", F.lit(0).alias("kind"), "idx", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("below"), "n2")
+    all_rows = left.unionByName(cells.withColumn("kind", F.lit(1)), allowMissingColumns=True).unionByName(after.withColumn("kind", F.lit(2)), allowMissingColumns=True)
+    return all_rows.select("stream", "part", "kind", "idx", "v", "n", "below", "n2")
+
+
+def _past(idx: np.ndarray, per_window: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Sums of ``per_window`` (rows by ``idx``, ascending) over each window's references: the prefix and all up to the one before the last."""
+    sums = np.concatenate([np.zeros((1, *per_window.shape[1:]), np.int64), np.cumsum(per_window, axis=0)])
+    return sums[np.searchsorted(idx, np.maximum(w - 2, 0), side="right")]
+
+
+def _part_distances(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Of one part: each window's n1, n2, the greatest gap k between the scaled counts, and the area between
+    them in units of 1e-10, as area = high * 2**20 + low."""
+    kind = pdf["kind"].to_numpy()
+    windows = pdf[kind == 0].sort_values("idx")
+    idx, below, n2 = (windows[c].to_numpy(np.int64) for c in ("idx", "below", "n2"))
+    cells, stop = pdf[kind == 1], pdf.loc[kind == 2, "v"].to_numpy(np.float64)
+    values, column = np.unique(cells["v"].to_numpy(np.float64), return_inverse=True)
+    row, count = np.searchsorted(idx, cells["idx"].to_numpy(np.int64)), cells["n"].to_numpy(np.int64)
+    gap = np.diff(np.rint(np.append(values, stop if stop.size else values[-1:]) * 1e10).astype(np.int64))
+    n1, ref_below = _past(idx, n2, idx), _past(idx, below, idx)
+    k, high, low = (np.zeros(idx.size, np.int64) for _ in range(3))
+    order = np.argsort(column, kind="stable")
+    column, row, count = column[order], row[order], count[order]
+    for a in range(0, values.size, _COLUMNS):  # columns from the left; the sums below them move on
+        z = min(a + _COLUMNS, values.size)
+        some = slice(*np.searchsorted(column, [a, z]))
+        of = np.argsort(row[some], kind="stable")
+        c, r, n = column[some][of] - a, row[some][of], count[some][of]
+        width, upto = z - a, np.zeros((2, z - a), np.int64)
+        for t in range(0, idx.size, _ROWS):
+            u = min(t + _ROWS, idx.size)
+            got = slice(*np.searchsorted(r, [t, u]))
+            own = np.bincount((r[got] - t) * width + c[got], weights=n[got], minlength=(u - t) * width).astype(np.int64).reshape(u - t, width)
+            # sums up to each window, after those of the two rows before these: a reference ends one or two rows earlier
+            upto = np.concatenate([upto[-2:], upto[-1] + np.cumsum(own, axis=0)])
+            last = np.searchsorted(idx, np.maximum(idx[t:u] - 2, 0), side="right") - 1
+            ref = upto[last - t + 2]
+            ref = np.cumsum(ref, axis=1) + ref_below[t:u, None]
+            mine = np.cumsum(own, axis=1) + below[t:u, None]
+            below[t:u], ref_below[t:u] = mine[:, -1], ref[:, -1]
+            ref *= n2[t:u, None]
+            mine *= n1[t:u, None]
+            ref -= mine
+            np.abs(ref, out=ref)
+            k[t:u] = np.maximum(k[t:u], ref.max(axis=1))
+            high[t:u] += (ref >> 20) @ gap[a:z]
+            low[t:u] += (ref & ((1 << 20) - 1)) @ gap[a:z]
+    later = idx > 0
+    return pd.DataFrame({"stream": pdf["stream"].iloc[0], "idx": idx, "n1": n1, "n2": n2, "k": k, "high": high, "low": low})[later]
+
+
+def _walked(assigned: DataFrame) -> DataFrame:
+    """Rows (stream, idx, n1, n2, k, area) against ``multi_reference``, without pairs of windows: each task holds a range of
+    values and adds up the windows' counts in their order, so work grows with windows times distinct values.
+    Gaps between values are those of the values at ten places."""
+    made = _ranged(assigned).groupBy("stream", "part").applyInPandas(_part_distances, "stream string, idx long, n1 long, n2 long, k long, high long, low long")
+    area = F.sum("high").cast("decimal(24,0)") * F.lit(Decimal("0.0001048576")) + F.sum("low").cast("decimal(27,0)") * F.lit(Decimal("0.0000000001"))
+    return made.groupBy("stream", "idx").agg(F.max("n1").alias("n1"), F.max("n2").alias("n2"), F.max("k").alias("k"), area.cast("double").alias("area"))
+
+
+def _paired(assigned: DataFrame, mode: str) -> DataFrame:
+    """The same from sorted pairs of samples."""
     values = sample_pairs(assigned, mode).groupBy("stream", "idx", "v").agg(F.sum("r").alias("r"), F.sum("w").alias("w"))
     group = Window.partitionBy("stream", "idx")
     order = group.orderBy("v")
@@ -162,7 +245,12 @@ def distances(assigned: DataFrame, mode: str = "fixed_first") -> DataFrame:
         F.lead("v").over(order).alias("next"),
     )
     apart = F.abs(F.col("cr") * F.col("n2") - F.col("cw") * F.col("n1"))
-    got = run.groupBy("stream", "idx").agg(F.max("n1").alias("n1"), F.max("n2").alias("n2"), F.max(apart).alias("k"), F.sum(apart.cast("decimal(16,0)") * exact(F.col("next") - F.col("v"))).cast("double").alias("area"))
+    return run.groupBy("stream", "idx").agg(F.max("n1").alias("n1"), F.max("n2").alias("n2"), F.max(apart).alias("k"), F.sum(apart.cast("decimal(16,0)") * exact(F.col("next") - F.col("v"))).cast("double").alias("area"))
+
+
+def distances(assigned: DataFrame, mode: str = "fixed_first") -> DataFrame:
+    """Per window: n1, n2, the KS numerator k = n1 n2 D, ks_stat and the Wasserstein distance, in one pass."""
+    got = _walked(assigned) if mode == "multi_reference" else _paired(assigned, mode)
     whole = (F.col("n1") * F.col("n2")).cast("double")
     some = whole > 0
     return got.select(
