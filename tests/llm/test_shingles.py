@@ -3,7 +3,7 @@ import random
 import corpus_pipeline
 from pyspark.sql import functions as F
 
-from tidewatch.llm import shingles
+from tidewatch.llm import shingles, simhash
 from tidewatch.llm.common import WORD, lower_ascii, table
 
 SF = "/root/testdata/sf0.001"
@@ -98,3 +98,19 @@ def test_near_pairs_equal_all_pairs(spark):
     want = {(a, b) for a in grams for b in grams if a < b and near(grams[a], grams[b])}
     got = shingles.near_pairs(sets).collect()
     assert {(r.a, r.b) for r in got} == want and len(got) == len(want)
+
+
+def test_fingerprints_link_before_prefixes_and_sets_confirm(spark):
+    base = [f"w{i}" for i in range(900)]
+    near = base[:450] + ["changed"] + base[451:]
+    docs = [" ".join(base), " ".join(near), " ".join(f"x{i}" for i in range(900))]
+    rows = spark.createDataFrame(list(enumerate(docs)), "row long, text string").select("row", F.col("text").cast("binary"))
+    sets = shingles._sets(rows, 5).cache()
+    of = {r.row: r for r in sets.select("row", "node", "fp").collect()}
+    assert [r.fp % 2**64 for _, r in sorted(of.items())] == [simhash.fingerprint(t.encode(), 5) for t in docs]
+    assert 0 < ((of[0].fp ^ of[1].fp) % 2**64).bit_count() + (of[0].node != of[1].node) and ((of[0].fp ^ of[1].fp) % 2**64).bit_count() <= shingles.RADIUS
+    (link,) = shingles.simhash_links(sets).collect()
+    assert {link.a, link.b} == {of[0].node, of[1].node}
+    apart = sets.withColumn("fp", F.lit(5).cast("long"))  # equal fingerprints of unlike sets
+    got = {(r.a, r.b) for r in shingles.simhash_links(apart).collect()}
+    assert got <= {(min(of[0].node, of[1].node), max(of[0].node, of[1].node))}

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import re
 import shutil
 import tempfile
@@ -75,6 +76,12 @@ def discard(spark: SparkSession, *paths: str) -> None:
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Delete the shuffle files of plans that are gone: Spark keeps them until the driver happens to collect its garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def staged(spark: SparkSession, make: Callable[[], DataFrame], last: bool = False) -> DataFrame:
     """``make()`` as a stage of a pipeline whose result is written before the next stage begins: what the stage before
     this one stored has been read by then, and is deleted.  What the ``last`` stage stored stays for its reader.

@@ -1,10 +1,11 @@
-"""Near copies by exact Jaccard similarity of word-shingle sets.
+"""Near copies by SimHash, completed by exact Jaccard similarity of word-shingle sets.
 
 A document is its set of distinct word shingles, each by its XXH64; documents link
-if their sets have similarity ``NEAR`` (four fifths) or more.  SimHash can't find
-these pairs: at 0.8 about a seventh of a fingerprint's bits differ, and covering
-masks for that many bits run into the tens of thousands.  Candidates come from
-prefixes instead, which miss no pair: if all sets are put into one common order,
+if their sets have similarity ``NEAR`` (four fifths) or more.  Fingerprints within
+``RADIUS`` bits come first: their documents link if the sets confirm it.  SimHash can't
+find all pairs: at 0.8 about a seventh of a fingerprint's bits differ, and covering
+masks for that many bits run into the tens of thousands.  What is not linked then
+meets by prefixes, which miss no pair: if all sets are put into one common order,
 two sets with an overlap of four fifths of the larger share a shingle among the
 first ``n - ceil(4n/5) + 1`` of each.  The order is by a sketch of shingle counts, rare
 ones first, so text that many documents share makes few candidates.  Each
@@ -21,7 +22,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import reduce
-from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -29,10 +29,11 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import discard, put, stored, texts
-from .simhash import SEED, components, rank
+from .common import discard, grows, put, release, stored, texts
+from .simhash import SEED, components, hashes, links, majority, rank
 
 NEAR = (4, 5)
+RADIUS = 4  # bits in which linked fingerprints differ, at most
 _SLOTS = 1 << 20
 _BROADCAST = 2_000_000  # node ids (8 bytes each)
 _PARITY = ("x0", "x1", "x2", "x3")  # 256 bits of a set
@@ -41,30 +42,24 @@ _COUNTERS = 64  # tasks that count for the sketch, at most
 
 def shingles(text: bytes, words: int = 5, hasher=xxhash.xxh64_intdigest) -> np.ndarray:
     """Sorted hashes of the distinct shingles of UTF-8 ``text``."""
-    said = text.lower().split()
-    if not said:
-        return np.empty(0, np.uint64)
-    joined = b" ".join(said)
-    if len(said) <= words:
-        return np.array([hasher(joined, SEED)], np.uint64)
-    starts = list(accumulate((len(w) + 1 for w in said), initial=0))
-    return np.unique(np.fromiter((hasher(joined[a : b - 1], SEED) for a, b in zip(starts, starts[words:])), np.uint64, len(said) - words + 1))
+    return np.unique(hashes(text, words, hasher))
 
 
 def _sets(rows: DataFrame, words: int) -> DataFrame:
-    """Columns row, node, grams and ``_PARITY`` of rows (row, text): a parity bit is set if an odd number of shingles falls on it."""
+    """Columns row, node, fp (SimHash of the shingles, repeats included), grams and ``_PARITY`` of rows (row, text): a parity bit is set if an odd number of shingles falls on it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in texts(batches, 64):
-            grams = [shingles(t or b"", words) for t in b.column(1).to_pylist()]
+            said = [hashes(t or b"", words) for t in b.column(1).to_pylist()]
+            grams, fps = [np.unique(h) for h in said], np.array([majority(h) for h in said], np.uint64).view(np.int64)
             nodes = np.array([xxhash.xxh64_intdigest(g.tobytes(), SEED) for g in grams], np.uint64).view(np.int64)
             ends = np.cumsum([0, *(g.size for g in grams)])
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(grams).view(np.int64)))
             parity = np.array([np.packbits(np.bincount((g & np.uint64(255)).astype(np.int64), minlength=256) & 1) for g in grams], np.uint8)
             bits = [pa.array(c) for c in np.ascontiguousarray(parity.view(np.int64).T)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(nodes), lists, *bits], ["row", "node", "grams", *_PARITY])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(nodes), pa.array(fps), lists, *bits], ["row", "node", "fp", "grams", *_PARITY])
 
-    return rows.mapInArrow(run, f"row long, node long, grams array<long>, {', '.join(f'{c} long' for c in _PARITY)}")
+    return rows.mapInArrow(run, f"row long, node long, fp long, grams array<long>, {', '.join(f'{c} long' for c in _PARITY)}")
 
 
 def _slot(grams: np.ndarray) -> np.ndarray:
@@ -160,12 +155,15 @@ def _few(ids: DataFrame) -> DataFrame:
 def confirmed(sets: DataFrame, maybe: DataFrame) -> DataFrame:
     """The rows of ``maybe`` (a, b and more), stored, whose sets have similarity ``NEAR`` or more."""
     over, under = NEAR
-    named = stored(maybe.select(F.col("a").alias("node")).union(maybe.select("b")).distinct(), "candidate_nodes")
-    picked = sets.select("node", "grams").join(_few(named), "node", "left_semi").dropDuplicates(["node"])
+    ends = maybe.select(F.col("a").alias("node")).union(maybe.select("b")).distinct()
+    low = sets.groupBy("node").agg(F.min("row").alias("row"))  # one row of each set
+    named = stored(low.join(grows(ends), "node", "left_semi").select("row"), "candidate_rows")
+    picked = sets.select("row", "node", "grams").join(_few(named), "row", "left_semi").drop("row")
     grams, at = put(picked, "candidate_sets")
     both = maybe.join(grams.select(F.col("node").alias("a"), F.col("grams").alias("x")), "a").join(grams.select(F.col("node").alias("b"), F.col("grams").alias("y")), "b")
     found = stored(both.where(f"{over + under} * size(array_intersect(x, y)) >= {over} * (size(x) + size(y))").select(maybe.columns), "near_pairs")
     discard(sets.sparkSession, at)
+    release(sets.sparkSession)
     return found
 
 
@@ -183,18 +181,35 @@ def _mixed(rows: DataFrame, turn: int) -> DataFrame:
     return rows.join(tops.where("labels > 1").drop("labels"), "gram")
 
 
+def simhash_links(sets: DataFrame) -> DataFrame:
+    """Near pairs (a < b) of nodes whose fingerprints differ in at most ``RADIUS`` bits, by one node of each fingerprint."""
+    nodes = stored(sets.groupBy("node").agg(F.min("fp").alias("fp")), "fingerprints")
+    leads = stored(nodes.groupBy("fp").agg(F.min("node").alias("lead")), "leads")
+    same = nodes.join(grows(leads), "fp").where("node <> lead").select("lead", "node")
+    far = links(leads, RADIUS).join(grows(leads.select(F.col("fp").alias("a"), F.col("lead").alias("x"))), "a").join(grows(leads.select(F.col("fp").alias("b"), F.col("lead").alias("y"))), "b").select("x", "y")
+    alike = stored(same.union(far).select(F.least("lead", "node").alias("a"), F.greatest("lead", "node").alias("b")).distinct(), "alike")
+    release(sets.sparkSession)
+    return confirmed(sets, alike)
+
+
 def near_links(sets: DataFrame) -> DataFrame:
     """Near pairs whose graph has the components of all near pairs, without all pairs of a group.
 
-    In rounds, nodes are held against one node of their bucket's commonest label (its
+    SimHash's links come first; what they join has one label.  In rounds, nodes are held against one node of their bucket's commonest label (its
     own node at first), and labels merge along the links found.  When less than a tenth
     of a round's pairs are links, the rest follows: in each bucket the nodes outside its
     commonest label against all with unlike labels whose parity bits don't rule them out.  Nodes known to be linked are never
     paired, and no pair of unlike labels is left out.
     """
-    rows, found = _shared(sets).withColumn("label", F.col("node")), []
+    spark, found = sets.sparkSession, [simhash_links(sets)]
+    joined = stored(components(found[0]), "joined")
+    rows = _shared(sets).join(_few(joined), "node", "left").select("gram", "node", "n", "pos", F.coalesce("root", "node").alias("label"))
+    release(spark)
+    held: list[str] = []
     while True:
-        mixed = stored(_mixed(rows, len(found)), "mixed")
+        mixed, at = put(_mixed(rows, len(found)), "mixed")
+        discard(spark, *held)  # the rows before these
+        held = [at]
         led = mixed.where("label <> top.label").where(_fits(("n", "pos"), ("top.lead.n", "top.lead.pos")))
         ends = F.struct("node", "label"), F.struct(F.col("top.lead.node").alias("node"), F.col("top.label").alias("label"))
         tried = led.select(F.least(*ends).alias("x"), F.greatest(*ends).alias("y")).distinct()

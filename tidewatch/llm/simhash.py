@@ -39,16 +39,24 @@ _SALTS = 16
 
 def fingerprint(text: bytes, shingle: int = 4, hasher=xxhash.xxh64_intdigest) -> int:
     """Fingerprint of UTF-8 ``text``; zero without words."""
+    return majority(hashes(text, shingle, hasher))
+
+
+def hashes(text: bytes, shingle: int, hasher=xxhash.xxh64_intdigest) -> np.ndarray:
+    """Hashes of the shingles of UTF-8 ``text`` in their order, repeats included."""
     words = text.lower().split()
     n = len(words)
     if not n:
-        return 0
+        return np.empty(0, np.uint64)
     joined = b" ".join(words)
     if n <= shingle:
-        return hasher(joined, SEED)
+        return np.array([hasher(joined, SEED)], np.uint64)
     starts = list(accumulate((len(w) + 1 for w in words), initial=0))
-    ends = starts[shingle:]
-    hashes = np.fromiter((hasher(joined[a : b - 1], SEED) for a, b in zip(starts, ends)), np.uint64, n - shingle + 1)
+    return np.fromiter((hasher(joined[a : b - 1], SEED) for a, b in zip(starts, starts[shingle:])), np.uint64, n - shingle + 1)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits set in more than half of ``hashes``; zero of none."""
     counts = np.zeros(BITS, np.int64)
     for at in range(0, hashes.size, _PIECE):
         part = hashes[at : at + _PIECE]
