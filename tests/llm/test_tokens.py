@@ -36,3 +36,21 @@ def test_texts_and_empty_ones(spark, plain):
     assert encoder.encode_many([t.encode() for t in said]) == [plain(t) for t in said]
     assert encoder.encode_many([None, b"", b" \n\t ", b"\xff\xfe a"]) == [b"", b"", b"", plain("�� a")]
     assert encoder.encode_many([]) == []
+
+
+def test_each_run_is_encoded_once():
+    encoder = tokens.Encoder(tokens.default_vocabulary())
+    asked = []
+
+    class Model:
+        def __init__(self, model):
+            self.model = model
+
+        def tokenize(self, text):
+            asked.append(text)
+            return self.model.tokenize(text)
+
+    encoder.words.model = Model(encoder.words.model)
+    ids = encoder.encode_many([b"strand Strand, STRAND! strand,strand", "Été été.".encode(), b"strand."])
+    assert len(asked) == len(set(asked)) == 5  # strand , ! été .
+    assert ids[0].count(encoder.encode_many([b"strand"])[0]) == 5

@@ -4,11 +4,12 @@ The tokenizer drops white space and never joins characters across it, and it
 splits text into runs of letters, single digits and runs of other characters
 before anything else.  So a text's ids are those of its words (cut at ASCII white
 space) one after the other, and a word of ASCII and Latin-1 letters has the ids of
-its lower-cased runs.  Each worker keeps the ids of the words
-it has met, as little-endian unsigned 32-bit bytes; new words go to the
-tokenizer library, many in a call, but for words with an apostrophe (contractions
-split otherwise) or other characters, which go alone.  When the memory is full a new
-one begins; words that the last one holds move over as they come up again.
+its lower-cased runs.  Each worker keeps the ids of the words and runs
+it has met, as little-endian unsigned 32-bit bytes.  A new run goes to the
+tokenizer library's model, which is all that the library does to a lower-case run
+but for writing its bytes as characters; a word with an apostrophe (contractions
+split otherwise) or other characters goes to the library as it is.  When the memory
+is full a new one begins; words that the last one holds move over as they come up again.
 Texts that hold the opening of a special token go to the library as a whole.
 
 Defined cases: null, empty and blank texts have no ids; bytes that are no UTF-8
@@ -19,15 +20,11 @@ from __future__ import annotations
 
 import os
 import re
+import struct
 from functools import lru_cache
-from itertools import compress
-from operator import not_
-
-import numpy as np
 
 END_ID = 1
 _KEEP = 500_000
-_CALL = 200
 _SPECIAL = b"<|"
 _PLAIN = re.compile(r"[\t-\r !-&(-~À-ÖØ-öø-ÿ]*")
 _RUN = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9\t-\r ]+")
@@ -39,6 +36,48 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def _pack(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
+def _byte_level() -> dict[int, int]:
+    """The library's characters for bytes: those that print stand for themselves, the others follow from 256 on."""
+    others = [*range(33), *range(127, 161), 173]
+    return {b: 256 + i for i, b in enumerate(others)}
+
+
+class _Memory(dict):
+    """Ids of words as bytes; a word that is looked up and not there is encoded."""
+
+    def __init__(self, tokenizer):
+        self.model, self.tokenizer = tokenizer.model, tokenizer
+        self.older: dict[bytes, bytes] = {}
+        self.characters = _byte_level()
+
+    def whole(self, text: str) -> bytes:
+        return _pack(self.tokenizer.encode(text, add_special_tokens=False).ids)
+
+    def __missing__(self, word: bytes) -> bytes:
+        if len(self) >= _KEEP:
+            self.older = self.copy()
+            self.clear()
+        if (ids := self.older.get(word)) is None:
+            ids = self.encoded(word)
+        self[word] = ids
+        return ids
+
+    def encoded(self, word: bytes) -> bytes:
+        text = word.decode("utf-8", "replace")
+        if not (text.isascii() and text.isprintable() and "'" not in text or _PLAIN.fullmatch(text)):
+            return self.whole(text)
+        lower = text.lower()
+        runs = [lower] if lower.isalpha() else _RUN.findall(lower)
+        if runs != [text]:
+            return b"".join([self[r.encode()] for r in runs])
+        said = text if len(text) == len(word) else word.decode("latin-1").translate(self.characters)
+        return _pack([t.id for t in self.model.tokenize(said)])
+
+
 class Encoder:
     """``encode_many(texts)``: the ids of UTF-8 texts as bytes, without an end id."""
 
@@ -47,59 +86,12 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        vocabulary = self.tokenizer.get_vocab()
-        self.size = max(vocabulary.values()) + 1
-        self.ends = np.zeros(self.size, bool)
-        self.ends[[i for piece, i in vocabulary.items() if piece.endswith("</w>")]] = True
-        self.words: dict[bytes, bytes] = {}
-        self.older: dict[bytes, bytes] = {}
-
-    def _whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def _learn(self, new: list[bytes]) -> None:
-        """Ids of new words; each run of a plain word is one piece and so has one end-of-word id, its last."""
-        if len(self.words) + len(new) > _KEEP:
-            self.words, self.older = {}, self.words
-        known, older = self.words, self.older.get
-        fresh = []
-        for word in new:
-            if (ids := older(word)) is None:
-                fresh.append(word)
-            else:
-                known[word] = ids
-        new = fresh
-        for at in range(0, len(new), _CALL):
-            plain, said, pieces = [], [], []
-            for word in new[at : at + _CALL]:
-                text = word.decode("utf-8", "replace")
-                if _PLAIN.fullmatch(text):
-                    plain.append(word)
-                    said.append(text)
-                    pieces.append(len(_RUN.findall(text.lower())))
-                else:
-                    known[word] = self._whole(text)
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(said)], add_special_tokens=False)[0].ids, "<u4")
-            ends = np.flatnonzero(self.ends[ids]) + 1
-            if ends.size != sum(pieces):
-                known.update((w, self._whole(t)) for w, t in zip(plain, said))
-                continue
-            data, start = ids.tobytes(), 0
-            for word, cut in zip(plain, (ends[np.cumsum(pieces, dtype=np.int64) - 1] * 4).tolist()):
-                known[word] = data[start:cut]
-                start = cut
+        self.size = max(self.tokenizer.get_vocab().values()) + 1
+        self.words = _Memory(self.tokenizer)
 
     def encode_many(self, texts: list[bytes | None]) -> list[bytes]:
-        cut = [t.split() if t and _SPECIAL not in t else [] for t in texts]  # at ASCII white space
-        found = [list(map(self.words.get, words)) for words in cut]
-        fresh = [i for i, f in enumerate(found) if None in f]
-        if fresh:
-            new = {w for i in fresh for w in compress(cut[i], map(not_, found[i]))}
-            self._learn(list(new))
-            known = self.words
-            for i in fresh:
-                found[i] = [known[w] if ids is None else ids for w, ids in zip(cut[i], found[i])]
-        return [self._whole(t.decode("utf-8", "replace")) if t and _SPECIAL in t else b"".join(f) for t, f in zip(texts, found)]
+        of = self.words.__getitem__
+        return [self.words.whole(t.decode("utf-8", "replace")) if t and _SPECIAL in t else b"".join(map(of, t.split() if t else ())) for t in texts]
 
 
 @lru_cache(maxsize=4)
