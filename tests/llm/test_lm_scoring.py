@@ -1,4 +1,6 @@
 import math
+import resource
+import sys
 import uuid
 import zlib
 from collections import Counter
@@ -141,3 +143,33 @@ def test_places_without_counted_targets_are_keys_alone():
         assert part.shape[1] == x.shape[1] - lo and np.allclose(part, whole[:, lo:])
         assert not count[:, :lo].any()
     assert mixed <= 1  # windows of one first target come together
+
+
+def test_inputs_as_keys_and_values_equal_a_head_with_matrices():
+    rng, v, p = tiny()
+    d = p["Q"].shape[0]
+    x = v.index[rng.integers(0, 40, (2, 7))]
+    query, key, value, out = rng.normal(size=(4, d, d))
+    assert not {"K", "V"} & set(p)
+    got = attention._body(p | {"Q": query @ key.T, "W": value @ out}, x)[0]
+    for b in range(2):
+        e = p["E"][x[b]] + p["P"][:7]
+        for i in range(7):
+            s = np.exp((e[: i + 1] @ key) @ (e[i] @ query) / np.sqrt(d))
+            h = e[i] + (s / s.sum()) @ (e[: i + 1] @ value) @ out
+            assert np.allclose(got[b, i], h + np.maximum(h @ p["A"] + p["a"], 0) @ p["B"])
+
+
+@pytest.mark.skipif(not sys.platform.startswith("linux"), reason="counts page faults of glibc's allocator")
+def test_steps_reuse_memory():
+    rng = np.random.default_rng(0)
+    v = attention.Vocabulary(rng.integers(1, 99, 2000))
+    attention.keep_heap()
+    t = attention.Trainer(attention.start(v), v)
+    x, y, count, _ = next(attention.batches([rng.integers(0, 2000, 5000)], v, 64, 32, 64))
+    for _ in range(5):
+        t.step(x, y, count)
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_minflt
+    for _ in range(10):
+        t.step(x, y, count)
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_minflt - before < 1000  # else over 1000 a step

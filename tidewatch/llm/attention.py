@@ -1,6 +1,9 @@
 """A small causal self-attention model over subword ids, in numpy.
 
-One attention layer and one feed-forward layer read windows of ids; the next id's
+One attention layer and one feed-forward layer read windows of ids.  Keys and values
+are the inputs' vectors themselves: with one head of full width, a key matrix times
+the query matrix is one matrix (``Q``), a value matrix times the output matrix another
+(``W``), so matrices of their own would add work and no model.  The next id's
 probability has two factors, so every id of the vocabulary has a share and the
 shares add to one: the id's class, then the id within its class.  The most
 frequent ids are classes of their own, the other ids seen in training are dealt
@@ -13,10 +16,12 @@ its targets, each later one its last ``stride``, so each id is scored once.
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 
 START = 1
-DENSE = ("P", "Q", "K", "V", "W", "A", "a", "B", "C", "c")
+DENSE = ("P", "Q", "W", "A", "a", "B", "C", "c")
 
 
 class Vocabulary:
@@ -50,13 +55,24 @@ def start(v: Vocabulary, d: int = 32, hidden: int = 64, width: int = 64, seed: i
 
     mass = np.bincount(v.class_of[:-1], weights=v.counts, minlength=v.classes) + 0.5
     return {
-        "E": normal(v.seen + 1, d, scale=0.5), "P": normal(width, d), "Q": normal(d, d, scale=d**-0.5), "K": normal(d, d, scale=d**-0.5),
-        "V": normal(d, d, scale=d**-0.5), "W": normal(d, d), "A": normal(d, hidden, scale=d**-0.5), "a": np.zeros(hidden, np.float32),
+        "E": normal(v.seen + 1, d, scale=0.5), "P": normal(width, d), "Q": normal(d, d, scale=d**-0.5), "W": normal(d, d),
+        "A": normal(d, hidden, scale=d**-0.5), "a": np.zeros(hidden, np.float32),
         "B": normal(hidden, d), "C": normal(d, v.classes, scale=0.02), "c": np.log(mass / mass.sum()).astype(np.float32),
         "O": normal(v.seen, d, scale=0.02), "o": np.log(v.counts / max(v.counts.sum(), 1)).astype(np.float32),
     }
 
 
+def keep_heap() -> None:
+    """Have the C library keep up to 256 MB of freed arrays in this process: it would else give their pages back, and each
+    step would have them zeroed anew.  Elsewhere than with glibc nothing changes."""
+    try:
+        of = ctypes.CDLL(None).mallopt
+    except (AttributeError, OSError, TypeError):
+        return
+    of(-3, 32 << 20)  # M_MMAP_THRESHOLD: its greatest value
+    of(-1, 256 << 20)  # M_TRIM_THRESHOLD
+
+
 def windows(n: int, width: int, stride: int) -> tuple[np.ndarray, np.ndarray]:
     """Starts of the windows over ``n`` inputs and the first target in each that counts."""
     starts = np.arange(1 + max(0, -(-(n - width) // stride))) * stride
@@ -72,15 +88,14 @@ def _body(p: dict, x: np.ndarray, lo: int = 0) -> tuple:
     """Hidden vectors of the index windows ``x`` (B, L) from place ``lo`` on, and what the way back needs."""
     e = p["E"][x] + p["P"][: x.shape[1]]
     n, length, d = e.shape
-    k, v = np.split((e.reshape(-1, d) @ np.concatenate([p["K"], p["V"]], axis=1)).reshape(n, length, 2 * d), 2, axis=2)
     own = e[:, lo:].reshape(-1, d)
     q = (own @ (p["Q"] * np.float32(d**-0.5))).reshape(n, length - lo, d)
-    s = q @ k.transpose(0, 2, 1)
+    s = q @ e.transpose(0, 2, 1)
     np.minimum(s, 60, out=s)  # keeps exp finite
     np.exp(s, out=s)
     s[:, :, lo:] *= np.tril(np.ones((length - lo, length - lo), np.float32))
     total = s.sum(axis=2, keepdims=True)
-    m = s @ v
+    m = s @ e
     m /= total
     h = m.reshape(-1, d) @ p["W"]
     h += own
@@ -89,7 +104,7 @@ def _body(p: dict, x: np.ndarray, lo: int = 0) -> tuple:
     np.maximum(r, 0, out=r)
     g = r @ p["B"]
     g += h
-    return g.reshape(n, length - lo, d), (e, own, q, k, v, s, total, m, h, r)
+    return g.reshape(n, length - lo, d), (e, own, q, s, total, m, h, r)
 
 
 def _softmax(z: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -158,7 +173,7 @@ def _sum_rows(at: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarra
 def gradients(p: dict, v: Vocabulary, x: np.ndarray, y: np.ndarray, count: np.ndarray) -> tuple[float, dict, dict]:
     """Summed loss, gradients of the dense parameters, and (rows, gradients) of E, O and o; both are means."""
     lo = _first(count)
-    top, (e, own, q, k, val, s, total, m, h, r) = _body(p, x, lo)
+    top, (e, own, q, s, total, m, h, r) = _body(p, x, lo)
     s /= total
     shape, picked = top.shape, np.flatnonzero(count[:, lo:])
     d = shape[2]
@@ -195,17 +210,16 @@ def gradients(p: dict, v: Vocabulary, x: np.ndarray, y: np.ndarray, count: np.nd
     dense |= {"B": r.T @ dtop, "A": h.T @ dr, "a": dr.sum(axis=0), "W": flat(m).T @ dh}
     dm = (dh @ p["W"].T).reshape(shape)
     root = np.float32(d**-0.5)
-    ds = dm @ val.transpose(0, 2, 1)
+    ds = dm @ e.transpose(0, 2, 1)
     ds -= (dm * m).sum(axis=2, keepdims=True)  # the sum of ds * s
     ds *= s
-    dq = flat(ds @ k)
+    dq = flat(ds @ e)
     dq *= root
-    dkv = flat(np.concatenate([ds.transpose(0, 2, 1) @ q, s.transpose(0, 2, 1) @ dm], axis=2))  # q is scaled already
-    de = (dkv @ np.concatenate([p["K"], p["V"]], axis=1).T).reshape(e.shape)
+    de = ds.transpose(0, 2, 1) @ q  # q is scaled already
+    de += s.transpose(0, 2, 1) @ dm
     dh += dq @ p["Q"].T
     de[:, lo:] += dh.reshape(shape)
-    both = flat(e).T @ dkv
-    dense |= {"Q": own.T @ dq, "K": both[:, :d], "V": both[:, d:]}
+    dense["Q"] = own.T @ dq
     dense["P"] = np.zeros_like(p["P"])
     dense["P"][: x.shape[1]] = de.sum(axis=0)
     sparse = {"E": _sum_rows(x.ravel(), flat(de))}
@@ -218,7 +232,7 @@ def gradients(p: dict, v: Vocabulary, x: np.ndarray, y: np.ndarray, count: np.nd
 class Trainer:
     """Adagrad steps from given parameters; rows that a batch doesn't touch cost nothing."""
 
-    def __init__(self, p: dict, v: Vocabulary, rate: float = 0.1, dense_rate: float = 0.02):
+    def __init__(self, p: dict, v: Vocabulary, rate: float = 0.1, dense_rate: float = 0.04):
         self.p, self.v = {k: a.copy() for k, a in p.items()}, v
         self.rate, self.dense_rate = rate, dense_rate
         self.seen = {k: np.full_like(a, 1e-8) for k, a in p.items()}

@@ -23,7 +23,7 @@ whatever its length; its windows are scored in groups of bounded size.
 from __future__ import annotations
 
 import zlib
-from collections import Counter
+from collections import defaultdict
 from collections.abc import Iterator
 from functools import reduce
 
@@ -42,10 +42,17 @@ _GROUP = 1024
 _SLICE = 1 << 16
 
 
+def _places() -> dict[bytes, int]:
+    """A word that is looked up and not there gets the next place."""
+    places = defaultdict()
+    places.default_factory = places.__len__
+    return places
+
+
 def _chunks(batches: Iterator[pa.RecordBatch], vocabulary: str, limit: int, mod: int) -> Iterator[pa.RecordBatch]:
     encoder = tokens.encoder(vocabulary)
     end = np.array([tokens.END_ID], "<u4").tobytes()
-    chunk, size, words, train = TaskContext.get().partitionId() << 32, 0, {}, []
+    chunk, size, words, train = TaskContext.get().partitionId() << 32, 0, _places(), []
     schema = pa.schema(
         [("chunk", pa.int64()), ("kind", pa.int32()), ("pos", pa.int32()), ("word", pa.binary()), ("n", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_())]
         + [("n_tokens", pa.int64()), ("at", pa.binary()), ("tf", pa.binary()), ("ids", pa.binary())]
@@ -53,10 +60,12 @@ def _chunks(batches: Iterator[pa.RecordBatch], vocabulary: str, limit: int, mod:
 
     def close() -> Iterator[pa.RecordBatch]:
         said = list(words)
+        at, n = map(np.concatenate, zip(*train)) if train else ([], [])
+        times = np.bincount(at, n, len(said)).astype(np.int64) if train else np.zeros(len(said), np.int64)  # exact below 2**53
         for a in range(0, len(said), 10_000):
             part = said[a : a + 10_000]
             k = len(part)
-            cols = [np.full(k, chunk), np.zeros(k, np.int32), np.arange(a, a + k, dtype=np.int32), pa.array(part, pa.binary()), np.array(train[a : a + k])]
+            cols = [np.full(k, chunk), np.zeros(k, np.int32), np.arange(a, a + k, dtype=np.int32), pa.array(part, pa.binary()), times[a : a + k]]
             yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in cols] + [pa.nulls(k, f.type) for f in list(schema)[5:]], schema=schema)
 
     for b in texts(batches, 64):
@@ -64,20 +73,18 @@ def _chunks(batches: Iterator[pa.RecordBatch], vocabulary: str, limit: int, mod:
         out = []
         for doc, body, ids in zip(b.column(0).to_pylist(), bodies, encoder.encode_many(bodies)):
             held = zlib.crc32(b"" if doc is None else str(doc).encode()) % mod == 0
-            tf = Counter(body.lower().split())
-            tf[b""] = 1  # the end, which no word equals
-            at = [words.setdefault(w, len(words)) for w in tf]
-            train.extend([0] * (len(words) - len(train)))
+            said = body.lower().split()
+            said.append(b"")  # the end, which no word equals
+            at, n = np.unique(np.fromiter(map(words.__getitem__, said), np.uint32, len(said)), return_counts=True)
+            n = n.astype(np.uint32)
             if not held:
-                for i, n in zip(at, tf.values()):
-                    train[i] += n
-            counts = np.fromiter(tf.values(), np.uint32, len(tf))
-            out.append((chunk, 1, 0, None, None, doc, held, int(counts.sum()), np.array(at, np.uint32).tobytes(), counts.tobytes(), ids + end))
+                train.append((at, n))
+            out.append((chunk, 1, 0, None, None, doc, held, len(said), at.tobytes(), n.tobytes(), ids + end))
             size += len(body)
             if size > limit:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
                 yield from close()
-                chunk, size, words, train, out = chunk + 1, 0, {}, [], []
+                chunk, size, words, train, out = chunk + 1, 0, _places(), [], []
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
     if words:
@@ -133,6 +140,7 @@ def train(docs: DataFrame, size: int, rounds: int = 3, share: float = 1.0, per_t
         sent = sc.broadcast(p)  # at most (size x (2d + 1)) numbers, whatever the input
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            attention.keep_heap()
             t = attention.Trainer(sent.value, v)
             for b in texts(batches, 200):
                 ids = _ids(b.column(0))
@@ -201,6 +209,7 @@ def score(
     sent = df.sparkSession.sparkContext.broadcast((v, p))
 
     def model(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        attention.keep_heap()
         vocab, weights = sent.value
         for b in texts(batches, 200):
             ids = _ids(b.column(5))
