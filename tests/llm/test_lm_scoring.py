@@ -173,3 +173,18 @@ def test_steps_reuse_memory():
     for _ in range(10):
         t.step(x, y, count)
     assert resource.getrusage(resource.RUSAGE_SELF).ru_minflt - before < 1000  # else over 1000 a step
+
+
+def test_trainers_report_every_id_of_the_training_texts_once(spark, monkeypatch):
+    df = table(spark, SF, "documents").select("doc_id", F.col("text").cast("binary"))
+    docs = lm_scoring.stored(df.mapInArrow(lambda b: lm_scoring._chunks(b, lm_scoring.tokens.default_vocabulary(), 8 << 20, 10), lm_scoring.ROWS), "chunks").where("kind = 1 and not held_out")
+    plain, said = type(docs).repartition, []
+
+    def repartition(self, *by):
+        if self.columns == ["part", "total", "n"]:  # what a round's trainers report
+            said.append(self.where("part = 0").agg(F.sum("n")).first()[0])
+        return plain(self, *by)
+
+    monkeypatch.setattr(type(docs), "repartition", repartition)
+    lm_scoring.train(docs, 49_408)
+    assert len(said) == 3 and sum(said) == sum(len(r.ids) // 4 for r in docs.collect())
