@@ -188,3 +188,20 @@ def test_trainers_report_every_id_of_the_training_texts_once(spark, monkeypatch)
     monkeypatch.setattr(type(docs), "repartition", repartition)
     lm_scoring.train(docs, 49_408)
     assert len(said) == 3 and sum(said) == sum(len(r.ids) // 4 for r in docs.collect())
+
+
+def test_softmax_within_classes_equals_each_row_alone_also_beyond_the_range_of_exp():
+    rng, v, p = tiny()
+    g, y = rng.normal(size=(300, 6)), rng.integers(0, v.seen, 300)
+    cls = v.class_of[y]
+    for scale in (1, 1e4):
+        q = p | {"O": p["O"] * scale}
+        rows, logs, _, flat, place, total, parts = attention._within(q, v, g, cls, y)
+        assert sorted(rows) == np.flatnonzero((cls >= v.heads) & (cls < v.classes - 1)).tolist()
+        assert len(parts) == len(set(cls[rows])) and sum(u.size for _, _, u in parts) == flat.size
+        assert np.allclose(flat[place] / total, np.exp(logs))
+        for i, got in zip(rows, logs):
+            a, b = v.first[cls[i]], v.first[cls[i] + 1]
+            z = q["O"][a:b] @ g[i] + q["o"][a:b]
+            z -= z.max()
+            assert got == pytest.approx(z[y[i] - a] - np.log(np.exp(z).sum()), rel=1e-9, abs=1e-9)

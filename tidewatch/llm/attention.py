@@ -86,15 +86,17 @@ def _first(count: np.ndarray) -> int:
 
 def _body(p: dict, x: np.ndarray, lo: int = 0) -> tuple:
     """Hidden vectors of the index windows ``x`` (B, L) from place ``lo`` on, and what the way back needs."""
-    e = p["E"][x] + p["P"][: x.shape[1]]
+    e = p["E"].take(x, axis=0)
+    e += p["P"][: x.shape[1]]
     n, length, d = e.shape
     own = e[:, lo:].reshape(-1, d)
     q = (own @ (p["Q"] * np.float32(d**-0.5))).reshape(n, length - lo, d)
     s = q @ e.transpose(0, 2, 1)
-    np.minimum(s, 60, out=s)  # keeps exp finite
+    if not s.max() <= 60:
+        np.minimum(s, 60, out=s)  # keeps exp finite
     np.exp(s, out=s)
     s[:, :, lo:] *= np.tril(np.ones((length - lo, length - lo), np.float32))
-    total = s.sum(axis=2, keepdims=True)
+    total = _row_sums(s.reshape(-1, length)).reshape(n, length - lo, 1)
     m = s @ e
     m /= total
     h = m.reshape(-1, d) @ p["W"]
@@ -107,22 +109,23 @@ def _body(p: dict, x: np.ndarray, lo: int = 0) -> tuple:
     return g.reshape(n, length - lo, d), (e, own, q, s, total, m, h, r)
 
 
-def _softmax(z: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Softmax of each row, in place of ``z``; the log of one column per row."""
-    z -= z.max(axis=1, keepdims=True)
-    got = z[np.arange(len(z)), at]
-    np.exp(z, out=z)
-    total = z.sum(axis=1, keepdims=True)
-    z /= total
-    return got - np.log(total[:, 0])
+def _row_sums(z: np.ndarray) -> np.ndarray:
+    return z @ np.ones(z.shape[1], z.dtype)
+
+
+def _fits(z: np.ndarray) -> bool:
+    """No row's exponentials leave the range of floats, so no row needs its greatest number taken off."""
+    return bool(z.max() < 60 and z.min() > -60)
 
 
-def _picked(z: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Log softmax of one column per row; ``z`` is overwritten."""
-    z -= z.max(axis=1, keepdims=True)
+def _picked(z: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Log softmax of one column per row and the sums of the rows' exponentials, which take the place of ``z``."""
+    if not _fits(z):
+        z -= z.max(axis=1, keepdims=True)
     got = z[np.arange(len(z)), at]
     np.exp(z, out=z)
-    return got - np.log(z.sum(axis=1))
+    total = _row_sums(z)
+    return got - np.log(total), total
 
 
 def _order(at: np.ndarray) -> np.ndarray:
@@ -130,16 +133,37 @@ def _order(at: np.ndarray) -> np.ndarray:
     return np.argsort(at.astype(np.uint16) if at.size and at.max() < 1 << 16 else at, kind="stable")
 
 
-def _by_class(cls: np.ndarray, lo: int, hi: int):
-    """(class, rows) for rows whose class is in lo..hi."""
+def _within(p: dict, v: Vocabulary, g: np.ndarray, cls: np.ndarray, y: np.ndarray) -> tuple:
+    """Log softmax of the targets of tail classes within their class: rows in order of class, logs, and for the way back
+    the rows' vectors, exponentials of all their classes' ids in one array, the targets' places there, sums of the rows,
+    and per class (rows, ids, exponentials)."""
     order = _order(cls)
-    sorted_cls = cls[order]
-    a, b = np.searchsorted(sorted_cls, [lo, hi])
-    order, sorted_cls = order[a:b], sorted_cls[a:b]
-    cuts = [0, *(np.flatnonzero(np.diff(sorted_cls)) + 1).tolist(), order.size]
-    for a, b in zip(cuts, cuts[1:]):
-        if a < b:
-            yield int(sorted_cls[a]), order[a:b]
+    of = cls[order]
+    a, b = np.searchsorted(of, [v.heads, v.classes - 1])
+    rows, of = order[a:b], of[a:b]
+    if not rows.size:
+        return rows, np.empty(0), None, None, None, None, []
+    first = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
+    n = np.diff(np.r_[first, rows.size])
+    wide = (v.first[1:] - v.first[:-1])[of[first]]
+    begin = np.cumsum(n * wide) - n * wide
+    mine, flat, parts = g[rows], np.empty(int((n * wide).sum()), g.dtype), []
+    for c, r, k, w, at in zip(of[first].tolist(), first.tolist(), n.tolist(), wide.tolist(), begin.tolist()):
+        ids = slice(int(v.first[c]), int(v.first[c]) + w)
+        u = flat[at : at + k * w].reshape(k, w)
+        np.matmul(mine[r : r + k], p["O"][ids].T, out=u)
+        u += p["o"][ids]
+        parts.append((slice(r, r + k), ids, u))
+    if not _fits(flat):
+        for _, _, u in parts:
+            u -= u.max(axis=1, keepdims=True)
+    place = np.repeat(begin - first * wide, n) + np.arange(rows.size) * np.repeat(wide, n) + y[rows] - v.first[of]
+    got = flat[place]
+    np.exp(flat, out=flat)
+    total = np.empty(rows.size, g.dtype)
+    for r, _, u in parts:
+        total[r] = _row_sums(u)
+    return rows, got - np.log(total), mine, flat, place, total, parts
 
 
 def log_probs(p: dict, v: Vocabulary, x: np.ndarray, y: np.ndarray, count: np.ndarray) -> np.ndarray:
@@ -155,10 +179,11 @@ def log_probs(p: dict, v: Vocabulary, x: np.ndarray, y: np.ndarray, count: np.nd
         part = slice(at, at + 1024)
         z = g[part] @ p["C"]
         z += p["c"]
-        out[part] = _picked(z, cls[part])
-    for k, rows in _by_class(cls, v.heads, v.classes - 1):
-        a, b = v.first[k], v.first[k + 1]
-        out[rows] += _picked(g[rows] @ p["O"][a:b].T + p["o"][a:b], y[rows] - a)
+        out[part] = _picked(z, cls[part])[0]
+    for at in range(0, y.size, 4096):
+        part = slice(at, at + 4096)
+        rows, logs, *_ = _within(p, v, g[part], cls[part], y[part])
+        out[at + rows] += logs
     out[cls == v.classes - 1] += v.unseen_log()
     return out
 
@@ -167,7 +192,7 @@ def _sum_rows(at: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarra
     order = _order(at)
     at = at[order]
     first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
-    return at[first], np.add.reduceat(values[order], first, axis=0)
+    return at[first], np.add.reduceat(values.take(order, axis=0), first, axis=0)
 
 
 def gradients(p: dict, v: Vocabulary, x: np.ndarray, y: np.ndarray, count: np.ndarray) -> tuple[float, dict, dict]:
@@ -177,31 +202,39 @@ def gradients(p: dict, v: Vocabulary, x: np.ndarray, y: np.ndarray, count: np.nd
     s /= total
     shape, picked = top.shape, np.flatnonzero(count[:, lo:])
     d = shape[2]
-    g, t = top.reshape(-1, d)[picked], y[:, lo:].ravel()[picked]
+    g, t = top.reshape(-1, d), y[:, lo:].ravel()
+    whole = picked.size == t.size
+    if not whole:
+        g, t = g[picked], t[picked]
     n = t.size
     cls = v.class_of[t]
     dz = g @ p["C"]
     dz += p["c"]
-    loss = -float(_softmax(dz, cls).sum())
-    dz[np.arange(n), cls] -= 1
-    dz *= np.float32(1 / n)
-    dense = {"C": g.T @ dz, "c": dz.sum(axis=0)}
+    logs, sums = _picked(dz, cls)
+    loss = -float(logs.sum())
+    dz *= (1 / (n * sums))[:, None]
+    dz[np.arange(n), cls] -= np.float32(1 / n)
+    dense = {"C": g.T @ dz, "c": np.ones(n, dz.dtype) @ dz}
     dg = dz @ p["C"].T
-    rows_o, grad_o, grad_b = [], [], []
-    for c, rows in _by_class(cls, v.heads, v.classes - 1):
-        a, b = v.first[c], v.first[c + 1]
-        mine, at, o = g[rows], t[rows] - a, p["O"][a:b]
-        u = mine @ o.T
-        u += p["o"][a:b]
-        loss -= float(_softmax(u, at).sum())
-        u[np.arange(rows.size), at] -= 1
-        u *= np.float32(1 / n)
-        dg[rows] += u @ o
-        rows_o.append(np.arange(a, b))
-        grad_o.append(u.T @ mine)
-        grad_b.append(u.sum(axis=0))
-    dtop = np.zeros((top.size // d, d), top.dtype)
-    dtop[picked] = dg
+    rows, logs, mine, u, place, sums, parts = _within(p, v, g, cls, t)
+    if parts:
+        loss -= float(logs.sum())
+        share = 1 / (n * sums)
+        for span, _, of in parts:
+            of *= share[span, None]
+        u[place] -= np.float32(1 / n)
+        back, rows_o = np.empty_like(mine), np.concatenate([np.arange(ids.start, ids.stop) for _, ids, _ in parts])
+        grad_o, grad_b, at = np.empty((rows_o.size, d), g.dtype), np.empty(rows_o.size, g.dtype), 0
+        for span, ids, of in parts:
+            np.matmul(of, p["O"][ids], out=back[span])
+            z = at + of.shape[1]
+            np.matmul(of.T, mine[span], out=grad_o[at:z])
+            np.matmul(np.ones(len(of), g.dtype), of, out=grad_b[at:z])
+            at = z
+        dg[rows] += back
+    dtop = dg if whole else np.zeros((top.size // d, d), top.dtype)
+    if not whole:
+        dtop[picked] = dg
     flat = lambda t: t.reshape(-1, t.shape[-1])
     dr = dtop @ p["B"].T
     dr *= r > 0
@@ -211,7 +244,7 @@ def gradients(p: dict, v: Vocabulary, x: np.ndarray, y: np.ndarray, count: np.nd
     dm = (dh @ p["W"].T).reshape(shape)
     root = np.float32(d**-0.5)
     ds = dm @ e.transpose(0, 2, 1)
-    ds -= (dm * m).sum(axis=2, keepdims=True)  # the sum of ds * s
+    ds -= np.einsum("ijk,ijk->ij", dm, m)[:, :, None]  # the sum of ds * s
     ds *= s
     dq = flat(ds @ e)
     dq *= root
@@ -223,9 +256,8 @@ def gradients(p: dict, v: Vocabulary, x: np.ndarray, y: np.ndarray, count: np.nd
     dense["P"] = np.zeros_like(p["P"])
     dense["P"][: x.shape[1]] = de.sum(axis=0)
     sparse = {"E": _sum_rows(x.ravel(), flat(de))}
-    if rows_o:
-        rows = np.concatenate(rows_o)
-        sparse |= {"O": (rows, np.concatenate(grad_o)), "o": (rows, np.concatenate(grad_b))}
+    if parts:
+        sparse |= {"O": (rows_o, grad_o), "o": (rows_o, grad_b)}
     return loss, dense, sparse
 
 
@@ -244,10 +276,15 @@ class Trainer:
             self.seen[k] += g * g
             self.p[k] -= self.dense_rate * g / np.sqrt(self.seen[k])
         for k, (rows, g) in sparse.items():
+            if rows[-1] - rows[0] == rows.size - 1:
+                rows = slice(int(rows[0]), int(rows[-1]) + 1)  # views, not copies
             seen = self.seen[k][rows]
             seen += g * g
-            self.seen[k][rows] = seen
-            self.p[k][rows] -= self.rate * g / np.sqrt(seen)
+            if not isinstance(rows, slice):
+                self.seen[k][rows] = seen
+            g *= self.rate
+            g /= np.sqrt(seen)
+            self.p[k][rows] -= g
         self.tokens += int(count.sum())
         self.loss += loss
 
