@@ -95,7 +95,8 @@ def _body(p: dict, x: np.ndarray, lo: int = 0) -> tuple:
     if not s.max() <= 60:
         np.minimum(s, 60, out=s)  # keeps exp finite
     np.exp(s, out=s)
-    s[:, :, lo:] *= np.tril(np.ones((length - lo, length - lo), np.float32))
+    rows = s.reshape(n, -1)
+    rows *= np.tri(length - lo, length, lo, np.float32).ravel()
     total = _row_sums(s.reshape(-1, length)).reshape(n, length - lo, 1)
     m = s @ e
     m /= total
